@@ -61,17 +61,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-l AS (SELECT doc_id, no, line, list_filter(regexp_split_to_array(lower(line), '\\s+'), x -> x <> '') AS w FROM raw),
-long AS (SELECT doc_id, no, w, len(w) AS n, row(doc_id, no) AS at FROM l WHERE len(w) >= {lines.MIN_WORDS}),
-firsts AS (SELECT w, n, min(at) AS first FROM long GROUP BY w, n),
+l AS (SELECT doc_id, no, line, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') AS w FROM raw),
+counted AS (SELECT doc_id, no, w, len(w) AS n, row(doc_id, no) AS place FROM l WHERE len(w) >= {lines.MIN_WORDS}),
+firsts AS (SELECT w, n, min(place) AS head FROM counted GROUP BY w, n),
 edit AS (SELECT * FROM firsts WHERE n >= {lines.EDIT_WORDS}),
-cut AS (SELECT w, first, n, p, md5(array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ')) AS v FROM (SELECT w, first, n, unnest(range(1, n + 1)) AS p FROM edit)),
-sub AS (SELECT first, min(first) OVER (PARTITION BY v, p) AS by FROM cut),
-full_line AS (SELECT first, md5(array_to_string(w, ' ')) AS v FROM edit),
-ins AS (SELECT c.first AS a, f.first AS b FROM cut c JOIN full_line f ON c.v = f.v WHERE c.n > {lines.EDIT_WORDS}),
-near AS (SELECT first FROM sub WHERE by < first UNION SELECT greatest(a, b) FROM ins WHERE a <> b),
-gone AS (SELECT x.doc_id, x.no FROM long x JOIN firsts f ON x.w = f.w WHERE f.first < x.at UNION SELECT first[1], first[2] FROM near),
-kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
+cut AS (SELECT head, n, p, md5(array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ')) AS v FROM (SELECT w, head, n, unnest(range(1, n + 1)) AS p FROM edit)),
+sub AS (SELECT head, min(head) OVER (PARTITION BY v, p) AS other FROM cut),
+whole AS (SELECT head, md5(array_to_string(w, ' ')) AS v FROM edit),
+ins AS (SELECT c.head AS a, f.head AS b FROM cut c JOIN whole f ON c.v = f.v WHERE c.n > {lines.EDIT_WORDS}),
+near AS (SELECT head FROM sub WHERE other < head UNION SELECT greatest(a, b) FROM ins WHERE a <> b),
+gone AS (SELECT x.doc_id, x.no FROM counted x JOIN firsts f ON x.w = f.w WHERE f.head < x.place UNION SELECT head[1], head[2] FROM near),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) AS text FROM l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(k.text, '') AS text, d.lang, d.source, CAST(length(coalesce(k.text, '')) AS BIGINT) AS n_chars FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 

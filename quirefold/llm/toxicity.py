@@ -29,7 +29,7 @@ INSULTS = (
     "dégoûtant débile ordure idiota imbécil estúpido basura asqueroso inútil patético payaso tonto"
 ).split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos tú usted ustedes ti tus vosotros".split()
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS, NEAR_WORDS = 8000, 50_000, 6
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS, NEAR_WORDS, FOLDS = 8000, 50_000, 6, 4
 PREFIXES = (4, 5, 6)
 _LEET = np.arange(256, dtype=np.uint8)
 for a, b in zip(b"0134578@$!", b"oieastbasi", strict=True):
@@ -166,7 +166,8 @@ def learn_lexicon(texts: pa.Array, toxic: np.ndarray, ratio: float = 15.0, least
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Fits on at most max_rows labelled rows (the smallest hashes of doc_id) of at most max_chars characters.
 
-    Half of them give the lexicon, three tenths the trees, two tenths the calibration.
+    The lexicon comes from all of them; the trees are fitted to features from lexicons of the other folds, and the fold that
+    they don't see gives the calibration.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("__a"), F.max("toxic").alias("__b")).where("__a = __b")
     chosen = spread_sample(known.select("doc_id", F.lit(1).alias("__one")), "doc_id", "__one", max_rows)
@@ -180,16 +181,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_
     if not 0 < y.sum() < len(y):
         return Model(empty, None, None, min(prior, 0.49))
     texts = got["t"].combine_chunks() if isinstance(got["t"], pa.ChunkedArray) else got["t"]
-    part = np.zeros(len(y), np.int64)
-    for cls in (True, False):  # each class is split alike, whatever the order of ids
+    fold = np.zeros(len(y), np.int64)
+    for cls in (True, False):  # each class is dealt alike, whatever the order of ids
         own = np.flatnonzero(y == cls)
-        own = own[np.argsort(K.mix(own.astype(np.uint64) + np.uint64(17)), kind="stable")]
-        part[own] = np.searchsorted([0.5, 0.8], (np.arange(len(own)) + 0.5) / len(own))
-    lexicon = learn_lexicon(texts.take(pa.array(np.flatnonzero(part == 0))), y[part == 0])
-    x = features(texts, lexicon)
-    trees, held = (part == 1, part == 2) if min(y[part == 1].sum(), y[part == 2].sum()) and (~y[part == 1]).any() and (~y[part == 2]).any() else (np.ones(len(y), bool),) * 2
+        fold[own[np.argsort(K.mix(own.astype(np.uint64) + np.uint64(17)), kind="stable")]] = np.arange(len(own)) % FOLDS
+    x = np.zeros((len(y), N_FEATURES))
+    for k in range(FOLDS):  # the trees see each row through a lexicon that was learned without it
+        own = np.flatnonzero(fold == k)
+        x[own] = features(texts.take(pa.array(own)), learn_lexicon(texts.take(pa.array(np.flatnonzero(fold != k))), y[fold != k]))
+    held = fold == 0
+    trees = ~held if 0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum() else held | True
     forest = boosting.fit_forest(x[trees], y[trees].astype(float))
-    return Model(lexicon, forest, boosting.fit_isotonic(forest.raw(x[held]), y[held].astype(float)), prior)
+    held = held if not trees.all() else trees
+    return Model(learn_lexicon(texts, y), forest, boosting.fit_isotonic(forest.raw(x[held]), y[held].astype(float)), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
