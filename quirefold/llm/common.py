@@ -61,3 +61,19 @@ def spread_sample(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
     w = Window.partitionBy("__by").orderBy("__h", "__key")
     rows = df.where(F.col(key).isNotNull() & F.col(by).isNotNull()).select(F.col(key).alias("__key"), F.col(by).alias("__by")).distinct()
     return rows.withColumn("__h", F.xxhash64("__key")).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("__key", "__by")
+
+
+#: So many ids at most are broadcast (some 16 bytes each, on every executor); beyond, rows are shuffled to meet them.
+MAX_BROADCAST_IDS = 4_000_000
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id_col is among the distinct ids (column __id), and the others, without moving a row.
+
+    With more than MAX_BROADCAST_IDS ids it gives all rows, and None: then the join itself has to find them.
+    """
+    if ids.count() > MAX_BROADCAST_IDS:
+        return rows, None
+    small = F.broadcast(ids)
+    on = F.col(id_col).cast("long") == F.col("__id")
+    return rows.join(small, on, "left_semi"), rows.join(small, on, "left_anti")

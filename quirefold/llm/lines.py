@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkernel as K
-from quirefold.llm.common import ROW, packed, written
+from quirefold.llm.common import ROW, packed, split_by_ids, written
 
 MIN_WORDS, EDIT_WORDS = 3, 8
 _KEYS = ("p0", "s0", "p1", "s1")
@@ -198,7 +198,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     suspects = written(_suspects(groups), "suspects")
     mine = suspects.select(F.col("doc_id").alias("__id"), "lines")
-    texts = ids.join(mine, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "lines")
+    with_suspects, _ = split_by_ids(ids, mine.select("__id"), "doc_id")  # else every text would be shuffled for some lines
+    texts = with_suspects.join(mine, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "lines")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,8 +230,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines gone from text; n_chars is set where it is a column."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1")).alias("__lines")).select(F.col("doc_id").alias("__id"), "__lines")
-    rows = packed(docs).join(gone, F.col(f"{ROW}.doc_id").cast("long") == F.col("__id"), "left")
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1")).alias("__lines"))
+    gone = written(gone.select(F.col("doc_id").alias("__id"), "__lines"), "repeated-lines")
+    inside, outside = split_by_ids(packed(docs), gone.select("__id"), f"{ROW}.doc_id")
+    rows = inside.join(gone, F.col(f"{ROW}.doc_id").cast("long") == F.col("__id"), "left")
     schema: T.StructType = docs.schema
     at = schema.names.index("text")
     counted = schema.names.index("n_chars") if "n_chars" in schema.names else None
@@ -254,7 +257,8 @@ def drop_lines(docs: DataFrame) -> DataFrame:
                         cols[i] = pa.array(values, cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return rows.select(ROW, "__lines").mapInArrow(each, schema)
+    changed = rows.select(ROW, "__lines").mapInArrow(each, schema)
+    return changed if outside is None else changed.union(outside.select(f"{ROW}.*"))
 
 
 def _without(text: str | None, gone: list[dict]) -> str | None:
