@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import textkernel as K
-from quirefold.llm.common import ROW, map_batches, packed, written
+from quirefold.llm.common import ROW, map_batches, packed, split_by_ids, written
 
 BITS, MAX_BITS = 128, 15
 SHORT_RUN, CHUNK = 48, 256
@@ -195,5 +195,7 @@ def _same(sigs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the duplicates."""
-    gone = duplicates(docs, max_bits).select(F.col("doc_id").alias("__gone"))
-    return packed(docs).join(gone, F.col(f"{ROW}.doc_id") == F.col("__gone"), "left_anti").select(f"{ROW}.*")
+    gone = written(duplicates(docs, max_bits).select(F.col("doc_id").alias("__id")), "duplicates")
+    inside, outside = split_by_ids(packed(docs), gone, f"{ROW}.doc_id")
+    kept = inside.join(gone, F.col(f"{ROW}.doc_id") == F.col("__id"), "left_anti") if outside is None else outside
+    return kept.select(f"{ROW}.*")
