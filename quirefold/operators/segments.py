@@ -110,10 +110,10 @@ def fold(df: DataFrame, keys: list[str], columns: list[str], fn: Callable[[list[
     For greedy steps, where each decision depends on those before it: they aren't windows. A group is a page or a document.
     """
     grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__rows"))
-    names = T._parse_datatype_string(schema).names
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    names, kinds = arrow.names, arrow.types
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = to_arrow_schema(T._parse_datatype_string(schema)).types
         for b in batches:
             out = [(*k, *r) for *k, rows in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in fn(rows)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names)
