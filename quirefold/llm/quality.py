@@ -1,6 +1,6 @@
 """Quality classifier: regularised quadratic discriminant analysis over transformed statistics of a text.
 
-Each class has a mean and a covariance, shrunk towards the pooled one and towards a multiple of the identity; the score is
+Each class has a mean and a covariance, shrunk towards the pooled one (the more, the fewer rows it has) and towards a multiple of the identity; the score is
 the difference of the two log densities (Mahalanobis distance and log determinant from a Cholesky factor that is computed
 once) plus that of the log priors. The moments are sums over all labelled rows, so the fit has no sample.
 
@@ -95,7 +95,8 @@ def from_moments(n: np.ndarray, s: np.ndarray, ss: np.ndarray, to_pooled: float
     d = len(pooled)
     factors, consts = [], []
     for k in range(2):
-        c = (1 - to_pooled) * cov[k] + to_pooled * pooled
+        weight = max(to_pooled, d / (d + n[k]))  # a class of few rows leans on the pooled covariance
+        c = (1 - weight) * cov[k] + weight * pooled
         c = (1 - to_identity) * c + to_identity * max(np.trace(c) / d, 1e-6) * np.eye(d)
         low = np.linalg.cholesky(c)
         factors.append(np.linalg.inv(low))
