@@ -127,40 +127,50 @@ def _features(texts: pa.Array, lx: Lexicon) -> np.ndarray:
     ).astype(float)
 
 
-def learn_lexicon(texts: pa.Array, toxic: np.ndarray, ratio: float = 15.0, least: int = 3) -> Lexicon:
-    """Words and word beginnings in at least `least` toxic texts, `ratio` times as frequent there as in the others.
-
-    Texts that agree in their smallest word hashes (copies of one text) count once.
-    """
-    low, off = K.buffers(pc.utf8_lower(texts))
-    w = K.words(low, off)
-    h = w.hashes()
-    order = np.lexsort((h, w.doc))
-    doc, hs = w.doc[order], h[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (hs[1:] != hs[:-1])
-    doc, hs = doc[first], hs[first]
-    n = len(texts)
-    start = np.searchsorted(doc, np.arange(n))
-    size = np.searchsorted(doc, np.arange(n), "right") - start
-    sketch = [tuple(hs[s : s + min(k, 3)]) for s, k in zip(start, size, strict=True)]
-    keep = np.zeros(n, bool)
-    keep[list({k: i for i, k in reversed(list(enumerate(sketch)))}.values())] = True
-    bad, good = max(int((keep & toxic).sum()), 1), max(int((keep & ~toxic).sum()), 1)
-
-    def enriched(d: np.ndarray, v: np.ndarray) -> np.ndarray:
-        v = v[keep[d]]
-        t = toxic[d[keep[d]]]
-        u, at = np.unique(v, return_inverse=True)
-        ft, fc = np.bincount(at[t], minlength=len(u)), np.bincount(at[~t], minlength=len(u))
-        return u[(ft >= least) & (ft / bad >= ratio * (fc + 0.5) / good)]
-
-    prefixes = {}
-    for k in PREFIXES:
-        v = w.prefixes(k)
-        pair = np.unique(np.stack([w.doc.astype(np.uint64), v], 1)[v != 0], axis=0)
-        prefixes[k] = enriched(pair[:, 0].astype(np.int64), pair[:, 1])
-    return Lexicon(enriched(doc, hs), prefixes, _hashes(INSULTS), _hashes(SECOND_PERSON))
+def _distinct(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    return doc[new].astype(np.int32), value[new]
+
+
+def contents(texts: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The distinct words (0) and word beginnings (by length) of each text, as text number and hash."""
+    parts: dict[int, list] = {k: [] for k in (0, *PREFIXES)}
+    for a, z in K.slices(texts):
+        low, off = K.buffers(pc.utf8_lower(texts.slice(a, z - a)))
+        w = K.words(low, off)
+        for k, found in parts.items():
+            v = w.prefixes(k) if k else w.hashes()
+            found.append(_distinct(w.doc[v != 0] + a, v[v != 0]))
+    return {k: tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.uint64)) for k, found in parts.items()}
+
+
+def unlike(found: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """One text of those that agree in their three smallest word hashes: copies of one text count once."""
+    doc, h = found[0]
+    begin, seen, keep = np.searchsorted(doc, np.arange(n + 1)), set(), np.zeros(n, bool)
+    for i in range(n):
+        key = tuple(h[begin[i] : min(begin[i] + 3, begin[i + 1])].tolist())
+        keep[i] = key not in seen
+        seen.add(key)
+    return keep
+
+
+def learn_lexicon(found: dict[int, tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, use: np.ndarray, ratio: float = 15.0, least: int = 3) -> Lexicon:
+    """Words and word beginnings in at least `least` toxic texts, `ratio` times as frequent there as in the others; use: the texts that count."""
+    bad, good = max(int((use & toxic).sum()), 1), max(int((use & ~toxic).sum()), 1)
+
+    def enriched(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+        value, t = value[use[doc]], toxic[doc[use[doc]]]
+        u, ft = np.unique(value[t], return_counts=True)
+        u, ft = u[ft >= least], ft[ft >= least]
+        clean = np.sort(value[~t])
+        fc = np.searchsorted(clean, u, "right") - np.searchsorted(clean, u)
+        return u[ft / bad >= ratio * (fc + 0.5) / good]
+
+    return Lexicon(enriched(*found[0]), {k: enriched(*found[k]) for k in PREFIXES}, _hashes(INSULTS), _hashes(SECOND_PERSON))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
@@ -185,15 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_
     for cls in (True, False):  # each class is dealt alike, whatever the order of ids
         own = np.flatnonzero(y == cls)
         fold[own[np.argsort(K.mix(own.astype(np.uint64) + np.uint64(17)), kind="stable")]] = np.arange(len(own)) % FOLDS
+    found = contents(texts)
+    once = unlike(found, len(y))
     x = np.zeros((len(y), N_FEATURES))
     for k in range(FOLDS):  # the trees see each row through a lexicon that was learned without it
         own = np.flatnonzero(fold == k)
-        x[own] = features(texts.take(pa.array(own)), learn_lexicon(texts.take(pa.array(np.flatnonzero(fold != k))), y[fold != k]))
+        x[own] = features(texts.take(pa.array(own)), learn_lexicon(found, y, once & (fold != k)))
     held = fold == 0
     trees = ~held if 0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum() else held | True
     forest = boosting.fit_forest(x[trees], y[trees].astype(float))
     held = held if not trees.all() else trees
-    return Model(learn_lexicon(texts, y), forest, boosting.fit_isotonic(forest.raw(x[held]), y[held].astype(float)), prior)
+    return Model(learn_lexicon(found, y, once), forest, boosting.fit_isotonic(forest.raw(x[held]), y[held].astype(float)), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
