@@ -21,11 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm import textkernel as K
 from quirefold.llm.common import map_batches
 
 KEY = b"change this key in production"
@@ -211,6 +211,10 @@ CODE = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]))"
 )
+# what no match can do without, whatever stands next to it: a digit, sign or key prefix; a title or given name and a space
+_CODE_NEEDS = r"[\d@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[bap]-|AIza"
+_NAME_NEEDS = rf"(?:{'|'.join(TITLES)})\.? |(?:{_NAMES}) "
+_CODE_HINT = re.compile(_CODE_NEEDS)
 _MAKE = {"email": _email, "secret": _secret, "iban": _iban, "ssn": lambda s, k: _by_format(s, k, "ssn", ["0123456789"]), "ip": _ip, "phone": _phone, "card": _card}
 
 
@@ -249,24 +253,15 @@ def _name(m: re.Match, key: bytes, seen: list | None) -> str:
 
 def replace(text: str, key: bytes = KEY, seen: list | None = None, names: bool = True) -> str:
     """The text with surrogates; seen gets (type, entity, surrogate) of each replacement."""
-    if any(c in text for c in "0123456789@=:"):
+    if _CODE_HINT.search(text):
         text = CODE.sub(lambda m: _code(m, key, seen), text)
     return NAME.sub(lambda m: _name(m, key, seen), text) if names else text
 
 
-_NAME_WORDS = np.unique(np.array([K.hash_word(w) for w in [*TITLES, *_ALL_GIVEN]], np.uint64))
-_CODE_BYTE = K.classes("0123456789@=:", False)
-
-
 def _hits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts have a byte that a code needs, and a word that a name needs."""
-    code, name = [np.zeros(0, bool)], [np.zeros(0, bool)]
-    for a, z in K.slices(texts):
-        raw, off = K.buffers(texts.slice(a, z - a))
-        code.append(K.total(_CODE_BYTE[raw], off) > 0)
-        w = K.words(raw, off)
-        name.append(np.bincount(w.doc[K.member(w.hashes(), _NAME_WORDS)], minlength=z - a) > 0)
-    return np.concatenate(code), np.concatenate(name)
+    """Which texts have what every code needs, and what every name needs; a text that has neither can't match."""
+    has = lambda pattern: pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False)
+    return has(_CODE_NEEDS.replace(r"\d", r"\p{Nd}")), has(_NAME_NEEDS)
 
 
 def replace_all(docs: DataFrame, key: bytes = KEY) -> DataFrame:
