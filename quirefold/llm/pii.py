@@ -201,14 +201,19 @@ _ALL_GIVEN = {n for names in GIVEN.values() for n in names}
 _CAP = r"[^\W\d_a-zß-öø-ÿ]['’]?[^\W\d_]+(?:-[^\W\d_]+)?"
 _NAMES = "|".join(sorted(map(re.escape, _ALL_GIVEN), key=len, reverse=True))
 NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})(?:\.|\b)[ ](?:(?P<g1>{_NAMES})[ ])?|(?P<g2>{_NAMES})[ ])(?P<sur>{_CAP})")
+_IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
+# a phone number ends with its format's last digit, or before a space and a number of another kind (where it can: else all of it goes)
+_NANP = r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w|[.-]\d)"
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})"
+_OTHER = rf"(?:{_IP}|\d{{3}}-\d{{2}}-\d{{4}}(?![\d-])|\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!\w)|[3-6]\d{{3}}(?:[ -]\d{{4}}){{3}}(?![ -]?\d)|3\d{{3}}[ -]\d{{6}}[ -]\d{{5}}(?![ -]?\d)|\d{{13,19}}(?!\d))"
 CODE = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,})"
     r"|(?P<secret>\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-(?:[a-z]+-)?[A-Za-z0-9_-]{20,}|xox[bap]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9]))"
     r"|(?P<named>\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_.~-]{6,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]))"
+    rf"|(?P<ip>(?<![\d.]){_IP})"
+    rf"|(?P<phone>(?<![\w+])(?:{_NANP}|{_PHONE}(?:(?:[ ](?!{_OTHER})|[.-])?\d{{2,4}}){{2,4}}(?!\w|\.\d+\.\d)|{_PHONE}(?:[ .-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\w))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]))"
 )
 # what no match can do without, whatever stands next to it: a digit, sign or key prefix; a title or given name and a space

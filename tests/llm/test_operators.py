@@ -174,6 +174,20 @@ def test_pii_prefilter_is_exact(spark):
     assert {r["doc_id"] for r in pii.entities(frame(spark, texts)).collect()} == set(range(len(texts) - 1))
 
 
+def test_pii_number_behind_a_phone():
+    others = {"ip": "190.137.223.204", "ssn": "123-45-6789", "card": "4111 1111 1111 1111", "phone": "555-123-4567"}
+    for phone in ("+1 (826) 555-4081", "+44 20 7946 0958", "+49 1234 5678", "+33 1 23 45 67 89"):
+        for kind, value in others.items():
+            seen = []
+            new = pii.replace(f"call {phone} {value} now", seen=seen)
+            assert [x[:2] for x in seen] == [("phone", phone), (kind, value)]
+            assert new == f"call {pii.surrogate('phone', phone)} {pii.surrogate(kind, value)} now"
+    for whole in ("+33 1 23.45.67.89", "+1 826 555 4081", "+18265554081", "+49 30 1234 5678", "+1 (826) 555-4081."):
+        seen = []
+        pii.replace(whole, seen=seen)
+        assert [x[:2] for x in seen] == [("phone", whole.rstrip("."))]
+
+
 def test_pii_has_no_collisions(docs):
     found = pii.entities(docs)
     assert found.count() > 0 and pii.collisions(found).count() == 0
