@@ -25,7 +25,7 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_counts(docs))
+    return packing.pack(packing.bpe_counts(docs))
 
 
 STAGES = [

@@ -170,8 +170,8 @@ class Codec:
         self.count.append(count)
         self.size += int(count.sum())
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens and the offsets of the texts."""
+    def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all words, known by then, and where each text's end."""
         if len(self.words) > CACHE:
             self.clear()
         words, find, rows, ends = self.words, self.find, [], []
@@ -180,11 +180,21 @@ class Codec:
             ends.append(len(rows))
         self.learn()
         self.flat, self.start, self.count = [np.concatenate(self.flat)], [np.concatenate(self.start)], [np.concatenate(self.count)]
-        at = np.array(rows, np.int64)
+        return np.array(rows, np.int64), np.array(ends, np.int64)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many tokens each text has."""
+        at, ends = self._rows(texts)
+        stop = np.concatenate([[0], np.cumsum(self.count[0][at])])
+        return np.diff(stop[ends], prepend=0)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens and the offsets of the texts."""
+        at, ends = self._rows(texts)
         n = self.count[0][at]
         stop = np.concatenate([[0], np.cumsum(n)])
         where = np.repeat(self.start[0][at] - stop[:-1], n) + np.arange(stop[-1])
-        return self.flat[0][where], stop[np.concatenate([[0], np.array(ends, np.int64)])]
+        return self.flat[0][where], stop[np.concatenate([[0], ends])]
 
     def decode(self, tokens: np.ndarray) -> bytes:
         known = np.where((tokens >= 0) & (tokens < len(self.lengths)), tokens, len(self.lengths))
@@ -227,6 +237,19 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, tokens array<int>, exact boolean")
 
 
+def counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, tokens: how many tokens encode gives; null for a null text."""
+    shipped = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # noqa: SIM115
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        c = codec(path, shipped.value, pattern)
+        parts = [c.counts(pc.fill_null(b.column(1).slice(a, z - a), "").to_pylist()) for a, z in K.slices(b.column(1), 4 << 20)]
+        null = pc.is_null(b.column(1)).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(parts).astype(np.int64), mask=null)], ["doc_id", "tokens"])
+
+    return map_batches(docs.select("doc_id", "text"), each, "doc_id long, tokens long")
+
+
 def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """doc_id, text."""
     shipped = encoded.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # noqa: SIM115

@@ -1,13 +1,13 @@
 """Packing texts into windows of a fixed number of tokens by non-negative least squares on the histogram of lengths.
 
-Tokens are words between white space, plus one that ends each text. A text longer than the window is cut into full windows and
+Tokens are those of the byte-pair vocabulary (bpe_counts), or words between white space (token_counts), plus one that ends each text. A text longer than the window is cut into full windows and
 a rest, so no token is lost. Rests are binned by length (bins of STEP tokens, rounded up); all combinations of at most DEPTH
 bins that fill a window are enumerated, and the repeat counts that fit the histogram best with none below zero are solved
 for, rounded, and cut to what is there. What remains is packed greedily, best fit first, again on the histogram. The plan
 is as large as the number of bins, whatever the number of texts; each text finds its place in it by its rank in its bin,
 which comes from counts by shard and a rank within a shard, so no bin is ranked in one task.
 
-Defined results: null and empty texts (no words) take no place and don't appear; repeated rows are each packed; a null doc_id is
+Defined results: null and empty texts (no tokens) take no place and don't appear; repeated rows are each packed; a null doc_id is
 packed like others; ties in rank are broken by doc_id, then piece; an empty table gives an empty result. Only doc_id and text are
 read (or doc_id and tokens where a count is given).
 """
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.llm import bpe
 from quirefold.llm.common import written
 
 WINDOW, STEP, DEPTH = 2048, 16, 3
@@ -127,6 +128,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", n.cast("long").alias("tokens")).where("tokens > 0").select("doc_id", (F.col("tokens") + 1).alias("tokens"))
 
 
+def bpe_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens: those that bpe.encode gives and one that ends the text; texts without tokens are left out."""
+    return bpe.counts(docs).where("tokens > 0").select("doc_id", (F.col("tokens") + 1).alias("tokens"))
+
+
 def pack(counts: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, shards: int = 64) -> DataFrame:
     """window_id, slot, doc_id, start, tokens: which tokens of which text stand where.
 

@@ -40,7 +40,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.bpe_counts(table(spark, sf_dir, "documents")))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

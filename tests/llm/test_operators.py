@@ -278,6 +278,19 @@ def test_packing_places_every_token_once(docs):
     assert rows.groupby("doc_id").tokens.sum().to_dict() == want
 
 
+def test_packing_counts_bpe_tokens(spark, docs):
+    from quirefold.llm import queries
+
+    rows = queries.op8_packing(spark, SF).toPandas()
+    assert not rows.duplicated(["window_id", "slot"]).any() and rows.groupby("window_id").tokens.sum().max() <= packing.WINDOW
+    want = {r["doc_id"]: len(r["tokens"]) + 1 for r in bpe.encode(docs).collect() if r["tokens"]}
+    assert rows.groupby("doc_id").tokens.sum().to_dict() == want
+    odd = frame(spark, [*ODD, "漢字" * 3000])
+    want = {r["doc_id"]: len(r["tokens"]) + 1 for r in bpe.encode(odd).collect() if r["tokens"]}
+    got = packing.pack(packing.bpe_counts(odd)).toPandas()
+    assert got.groupby("doc_id").tokens.sum().to_dict() == want and (got.doc_id == len(ODD)).sum() > 1
+
+
 def test_media_round_trip():
     for i, text in enumerate(["a", "one\ntwo\nthree\nfour\nfive", "x\n" * 40]):
         data = media.container(i, text)
