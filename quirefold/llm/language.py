@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of its training text accepts exactly the strings that occur there. A text is cut
 greedily into longest matches; phrases * log2(training length) / length estimates the cross entropy. All texts of a batch
-step through the dense transition tables of all languages at once, in blocks of BLOCK characters that are parsed by
+step through the transition tables of all languages at once (rows laid over each other, so that every letter of the training
+texts has a code, in any script), in blocks of BLOCK characters that are parsed by
 themselves (so every block of every text is read; at most one phrase in a block is cut short).
 
 Characters are lower-cased; whatever isn't a letter becomes a space, and runs of spaces count as one. A letter that no
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 from quirefold.llm import textkernel as K
 from quirefold.llm.common import map_batches, spread_sample
 
-BLOCK, TRAIN_TEXTS, TRAIN_CHARS, MAX_TRAIN_DOC, WIDTH, CODES = 1024, 60, 16_000, 20_000, 96, 0x3000
-RESTART = np.int32(1 << 30)
+BLOCK, TRAIN_TEXTS, TRAIN_CHARS, MAX_TRAIN_DOC, TRIES = 1024, 60, 16_000, 20_000, 16
 
 
 def codepoints(texts: list[str]) -> np.ndarray:
@@ -67,19 +67,23 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """code 0 is an unknown letter, 1 a space; table[state + code] is the next state, with RESTART where a phrase ends."""
+    """code 0 is an unknown letter, 1 a space; where owner[state + code] is state, table[state + code] is the next one.
+
+    Elsewhere a phrase ends, and go[language, code] is the state in which the next begins.
+    """
 
     langs: list[str]
     code_of: np.ndarray
-    width: int
     table: np.ndarray
+    owner: np.ndarray
+    go: np.ndarray
     roots: np.ndarray
     log_size: np.ndarray
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         low = [t.lower() for t in texts]
         cp = codepoints(low)
-        codes = self.code_of[np.minimum(cp, CODES)]
+        codes = self.code_of[cp]
         off = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
         drop = np.zeros(len(codes), bool)  # a space after a space, or at a text's start
         drop[1:] = (codes[1:] == 1) & (codes[:-1] == 1)
@@ -104,9 +108,11 @@ class Model:
         active = len(doc) - np.searchsorted(length[::-1], np.arange(BLOCK), "right")  # blocks longer than t
         for t in range(int(length[0]) if len(length) else 0):
             a = active[t]
-            got = self.table[state[:, :a] + codes[start[:a] + t]]
-            count[:, :a] += got >> 30
-            state[:, :a] = got & (RESTART - 1)
+            code, now = codes[start[:a] + t], state[:, :a]
+            at = now + code
+            on = self.owner[at] == now
+            count[:, :a] += ~on
+            state[:, :a] = np.where(on, self.table[at], self.go[:, code])
         count += state != self.roots[:, None]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         for i in range(len(self.langs)):
@@ -114,33 +120,55 @@ class Model:
         return out, size
 
 
+def overlay(rows: list[dict[int, int]]) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """A place for each row, no two equal, so that no two entries meet at place + code; and the entries there: row, target."""
+    places, taken, used = [0] * len(rows), {}, set()
+    free = top = 0
+    for s in sorted(range(len(rows)), key=lambda s: (-len(rows[s]), s)):
+        codes = sorted(rows[s])
+        while free in taken:
+            free += 1
+        first = codes[0] if codes else 0
+        at = max(free - first, 0)
+        for _ in range(TRIES):
+            if at not in used and not any(at + c in taken for c in codes):
+                break
+            at += 1
+        else:
+            at = top  # behind all others there is room
+        places[s] = at
+        used.add(at)
+        for c in codes:
+            taken[at + c] = (s, rows[s][c])
+        top = max(top, at + 1 + (codes[-1] if codes else 0))
+    return places, taken
+
+
 def build(training: dict[str, str]) -> Model:
     """training: a text for each language."""
     langs = sorted(training)
-    letters: dict[int, int] = {}
-    for lang in langs:
-        for c in codepoints([training[lang]]).tolist():
-            if chr(c).isalpha() and c < CODES:
-                letters[c] = letters.get(c, 0) + 1
-    chosen = sorted(letters, key=lambda c: (-letters[c], c))[: WIDTH - 2]
-    code_of = np.array([0 if chr(c).isalpha() else 1 for c in range(CODES)] + [0], np.int32)
-    code_of[chosen] = np.arange(2, 2 + len(chosen))
-    width = 2 + len(chosen)
-    m = Model(langs, code_of, width, np.zeros(0, np.int32), np.zeros(len(langs), np.int32), np.zeros(len(langs)))
-    tables, base = [], 0
+    letters = sorted({c for lang in langs for c in np.unique(codepoints([training[lang]])).tolist() if chr(c).isalpha()})
+    code_of = np.array([0 if chr(c).isalpha() else 1 for c in range(0x110000)], np.int32)
+    code_of[letters] = np.arange(2, 2 + len(letters))
+    width = 2 + len(letters)
+    m = Model(langs, code_of, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((len(langs), width), np.int32), np.zeros(len(langs), np.int32), np.zeros(len(langs)))
+    tables, owners, base = [], [], 0
     for i, lang in enumerate(langs):
         codes = m.encode([training[lang]])[0].tolist()
-        nxt = suffix_automaton(codes)
-        rows = np.full((len(nxt), width), -1, np.int32)
-        for s, step in enumerate(nxt):
-            for c, to in step.items():
-                if c:
-                    rows[s, c] = base + to * width
-        root = np.where(rows[0] < 0, base, rows[0])
-        tables.append(np.where(rows < 0, root[None, :] | RESTART, rows).ravel())
-        m.roots[i], m.log_size[i] = base, np.log2(max(len(codes), 2))
-        base += rows.size
-    m.table = np.concatenate(tables).astype(np.int32) if tables else m.table
+        rows = suffix_automaton(codes)
+        places, taken = overlay(rows)
+        size = max(places) + width
+        table, owner = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        for at, (s, to) in taken.items():
+            table[at], owner[at] = base + places[to], base + places[s]
+        tables.append(table), owners.append(owner)
+        m.roots[i], m.log_size[i] = base + places[0], np.log2(max(len(codes), 2))
+        m.go[i] = m.roots[i]
+        for c, to in rows[0].items():
+            m.go[i, c] = base + places[to]
+        base += size
+    if tables:
+        m.table, m.owner = np.concatenate(tables), np.concatenate(owners)
     return m
 
 

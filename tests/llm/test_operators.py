@@ -67,6 +67,18 @@ def test_language_phrases_by_brute_force():
             assert row[i] == n + bool(cur), (t, train)
 
 
+def test_language_of_any_script(spark):
+    rng = random.Random(6)
+    scripts = {"zh": (0x4E00, 3000), "ko": (0xAC00, 2000), "ja": (0x3041, 80), "ru": (0x430, 32), "el": (0x3B1, 24), "ar": (0x627, 30), "en": (0x61, 26), "got": (0x10330, 20)}
+    words = {lang: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(1, 5))) for _ in range(300)] for lang, (a, n) in scripts.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    m = language.build({lang: text(lang, 100 if lang == "en" else 600) for lang in scripts})
+    want = [lang for lang in scripts for _ in range(3)]
+    texts = [text(lang, 40) for lang in want]
+    got = language.identify(frame(spark, [*texts, "。、🙂 12"]), m).orderBy("doc_id").collect()
+    assert [r["predicted"] for r in got] == [*want, None]
+
+
 def test_language_accuracy(docs):
     got = language.identify(docs, language.fit(docs, texts=5)).join(docs.select("doc_id", "lang"), "doc_id").where(F.length("predicted") > 0)
     assert got.where("predicted = lang").count() >= 0.98 * got.count()
