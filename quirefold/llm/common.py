@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a local one is made and set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, gone when it ends; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="quirefold-")
+        atexit.register(shutil.rmtree, made, True)
+        found = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -63,8 +70,8 @@ def spread_sample(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
     return rows.withColumn("__h", F.xxhash64("__key")).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("__key", "__by")
 
 
-#: So many ids at most are broadcast (some 16 bytes each, on every executor); beyond, rows are shuffled to meet them.
-MAX_BROADCAST_IDS = 4_000_000
+#: So many ids at most are broadcast (some 40 bytes each with the hash table, on every executor); beyond, rows are shuffled to meet them.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def split_by_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
