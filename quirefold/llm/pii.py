@@ -1,12 +1,22 @@
 """PII: entities in a text are replaced by keyed surrogates of the same type, script and format.
 
 E-mail addresses, phone and card numbers, IBANs, IPv4 addresses, social security numbers, keys and passwords, and personal
-names (a title or a known given name with a capitalised surname). Every surrogate comes from a keyed permutation of the
-finite set of values that share the entity's format: digits stay digits, case and script stay, given names map among those of
-the same gender and script, checksums (Luhn, IBAN) stay right or wrong as they were, private networks stay private. A
-permutation can't map two values to one, and the format is kept, so distinct entities stay distinct over any number of
-machines without a table, and every mention of one entity gets the same surrogate. The collision checks walk the permutation
-on until the result is allowed: not the value itself, a surname that no list has stays off the lists, and so on.
+names. A name is a title with the capitalised words behind it, a known given name with a capitalised word, or two capitalised
+words behind a cue ("my name is", "contact", "Dear"), and what a conjunction adds to one of these. Every other mention of a
+part of a name in the same text (alone, possessive, in capitals) gets the surrogate of that part.
+
+Every surrogate comes from a keyed cycle through the finite set of values that share the entity's format: x becomes
+P'(P(x) + 1), where P is a keyed permutation and P' its inverse. The step never gives x itself, can't map two values to one, and
+needs no table, so distinct entities stay distinct over any number of machines and every mention of one gets the same
+surrogate. Digits stay digits, case and script stay, given names map among those of the same gender and script, private networks
+stay private. The collision checks take further steps until the result is allowed (a surname that no list has stays off the
+lists, and so on); as the steps run through all values, they end, and only a value that is alone in its set stays as it is.
+
+Sixteen digits that start with 3 to 6, and 13 to 19 digits with a right Luhn sum, are cards, right or wrong as before in the
+surrogate; other such digits, and IBANs with a wrong sum, are no entities and stay.
+
+The key is the session's spark.quirefold.pii.key; without it a random one is made for the session, so that nobody can invert
+the surrogates. Set it to get the same surrogates in every run.
 
 Defined results: a null text stays null, an empty one stays empty; repeated rows get equal results; other columns pass
 through, n_chars (if there is one) is the new length of a text that changed; an empty table stays empty. Only text is read.
@@ -16,19 +26,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+import secrets
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm.common import map_batches
 
-KEY = b"change this key in production"
+KEY_CONF = "spark.quirefold.pii.key"
 GIVEN = {
     "f": "Mary Anna Emma Laura Sarah Julia Sophie Linda Susan Karen Lisa Nancy Helen Sandra Donna Carol Ruth Alice Grace Claire Marie Camille Juliette Chloé Élodie Aurélie Hélène Isabelle Ingrid Heike Sabine Petra Greta Ursula Carmen Lucía Sofía Elena Isabel Pilar Rosario Marta Patricia Jennifer Elizabeth Barbara Jessica".split(),
     "m": "John James Robert Michael William David Richard Thomas Charles Daniel Matthew Mark Paul Steven Andrew Kevin Brian George Edward Peter Henry Jean Pierre Luc Antoine François Benoît Étienne Olivier Hans Klaus Jürgen Günther Stefan Wolfgang Dieter Carlos Miguel José Javier Diego Pablo Andrés Luis Alejandro Joseph Christopher Anthony".split(),
@@ -42,7 +54,10 @@ SURNAMES = {
     "cyrillic": "Иванов Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Петров".split(),
     "greek": "Παπαδόπουλος Οικονόμου Γεωργίου Νικολάου Δημητρίου".split(),
 }
-TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Señora", "Sra"]
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Señora", "Sra"]
+NOUN_TITLES = ["Herr", "Frau"]  # in German a noun behind the name has a capital too: only one word, or a known given name and one, belongs to them
+CUES = ["name is", "name:", "Name:", "Name ist", "heiße", "m'appelle", "m’appelle", "me llamo", "Me llamo", "nombre es", "Dear", "Sincerely,", "Regards,", "regards,", "Contact", "contact", "Contact:", "contact:", "Attn:", "Call", "call", "Ask for", "ask for", "Signed by", "signed by", "spoke to", "spoke with", "speak to", "speak with", "met with"]
+_JOIN = r"(?:,|,? (?:and|or|und|oder|et|ou|y|e|o))[ ]"
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 _LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
@@ -54,16 +69,14 @@ def _round(key: bytes, tweak: bytes, r: int, x: int, bits: int) -> int:
     return int.from_bytes(h, "big") & ((1 << bits) - 1)
 
 
-def permute(x: int, n: int, key: bytes, tweak: bytes) -> int:
-    """A keyed permutation of [0, n): an unbalanced Feistel network, walked on until it is back in the range."""
-    if n < 2:
-        return x
+def _walk(x: int, n: int, key: bytes, tweak: bytes, rounds: range) -> int:
+    """An unbalanced Feistel network, walked on until it is back in [0, n)."""
     bits = max(2, (n - 1).bit_length())
     lo_bits = bits // 2
     hi_bits = bits - lo_bits
     while True:
         hi, lo = x >> lo_bits, x & ((1 << lo_bits) - 1)
-        for r in range(8):
+        for r in rounds:
             if r % 2:
                 hi ^= _round(key, tweak, r, lo, hi_bits)
             else:
@@ -73,11 +86,18 @@ def permute(x: int, n: int, key: bytes, tweak: bytes) -> int:
             return x
 
 
-def _by_format(s: str, key: bytes, kind: str, classes: list[str], allowed: Callable[[str], bool] = lambda _: True) -> str:
-    """Each character becomes one of its class, others stay; a permutation of all strings of this format that are allowed.
+def permute(x: int, n: int, key: bytes, tweak: bytes) -> int:
+    """A keyed permutation of [0, n)."""
+    return _walk(x, n, key, tweak, range(8)) if n > 1 else x
+
 
-    Where the allowed strings hold but s, it stays as it is.
-    """
+def step(x: int, n: int, key: bytes, tweak: bytes) -> int:
+    """The next value of a keyed cycle through [0, n): another one than x, and each is the next of one."""
+    return _walk((permute(x, n, key, tweak) + 1) % n, n, key, tweak, range(7, -1, -1)) if n > 1 else x
+
+
+def _by_format(s: str, key: bytes, kind: str, classes: list[str], allowed: Callable[[str], bool] = lambda _: True) -> str:
+    """Each character becomes one of its class, others stay: the next allowed string of the cycle through this format; s itself is allowed."""
     at = [next((c for c in classes if ch in c), None) for ch in s]
     n = 1
     for c in at:
@@ -100,11 +120,10 @@ def _by_format(s: str, key: bytes, kind: str, classes: list[str], allowed: Calla
         return "".join(reversed(out))
 
     x = number(s)
-    for _ in range(10_000):  # ends on its own at s; the bound is for formats with next to no other allowed value
-        x = permute(x, n, key, tweak)
-        if allowed(t := text(x)):
+    while True:
+        x = step(x, n, key, tweak)
+        if (t := text(x)) == s or allowed(t):
             return t
-    return s
 
 
 def _next_in(items: list[str], value: str, key: bytes, kind: str) -> str:
@@ -153,12 +172,12 @@ _PUBLIC = [i for i in range(1, 224) if i not in (10, 127, 169, 172, 192)]
 def _ip(s: str, key: bytes) -> str:
     a, b, c, d = map(int, s.split("."))
     if a in _PUBLIC:
-        x = permute((_PUBLIC.index(a) << 24) | b << 16 | c << 8 | d, len(_PUBLIC) << 24, key, b"ip")
+        x = step((_PUBLIC.index(a) << 24) | b << 16 | c << 8 | d, len(_PUBLIC) << 24, key, b"ip")
         return f"{_PUBLIC[x >> 24]}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
     if a in (172, 192, 169):
-        x = permute(c << 8 | d, 1 << 16, key, f"ip{a}.{b}".encode())
+        x = step(c << 8 | d, 1 << 16, key, f"ip{a}.{b}".encode())
         return f"{a}.{b}.{x >> 8}.{x & 255}"
-    x = permute(b << 16 | c << 8 | d, 1 << 24, key, f"ip{a}".encode())
+    x = step(b << 16 | c << 8 | d, 1 << 24, key, f"ip{a}".encode())
     return f"{a}.{x >> 16}.{x >> 8 & 255}.{x & 255}"
 
 
@@ -186,6 +205,8 @@ def _secret(s: str, key: bytes) -> str:
 
 
 def _given(s: str, key: bytes) -> str:
+    if len(s) > 1 and s.isupper():
+        return _given(s.title(), key).upper()
     for group, names in GIVEN.items():
         if s in names:
             return _next_in(names, s, key, group)
@@ -193,14 +214,23 @@ def _given(s: str, key: bytes) -> str:
 
 
 def _surname(s: str, key: bytes) -> str:
+    if len(s) > 1 and s.isupper():
+        return _surname(s.title(), key).upper()
     own = SURNAMES[_script(s)]
     return _next_in(own, s, key, "surname") if s in own else _by_format(s, key, "surname", _CLASSES, lambda t: t not in own)
 
 
 _ALL_GIVEN = {n for names in GIVEN.values() for n in names}
-_CAP = r"[^\W\d_a-zß-öø-ÿ]['’]?[^\W\d_]+(?:-[^\W\d_]+)?"
+_CAP = r"\p{Lu}['’]?\p{L}+(?:-\p{L}+)*(?![\w'’-]\w)"
+_PARTICLE = r"(?:(?:van|von|de|der|den|la|del|di|da|du|le|bin|al|el)[ ]){0,3}"
+_INITIAL = r"(?:\p{Lu}\.[ ])?"
 _NAMES = "|".join(sorted(map(re.escape, _ALL_GIVEN), key=len, reverse=True))
-NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})(?:\.|\b)[ ](?:(?P<g1>{_NAMES})[ ])?|(?P<g2>{_NAMES})[ ])(?P<sur>{_CAP})")
+_TITLED = "|".join(TITLES)
+NAME = regex.compile(
+    rf"\b(?:(?:{_TITLED})(?:\.|\b)[ ](?:(?P<g1>{_CAP})[ ]{_INITIAL}(?={_PARTICLE}{_CAP}))?|(?:{'|'.join(NOUN_TITLES)})[ ](?:(?P<g2>{_NAMES})[ ])?"
+    rf"|(?P<g3>{_NAMES})[ ]{_INITIAL}|(?:{'|'.join(map(re.escape, CUES))})\s(?P<g4>{_CAP})[ ]{_INITIAL}){_PARTICLE}(?P<sur>{_CAP})"
+)
+ANOTHER = regex.compile(rf"{_JOIN}(?P<g1>{_CAP})[ ]{_INITIAL}{_PARTICLE}(?P<sur>{_CAP})")
 _IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 # a phone number ends with its format's last digit, or before a space and a number of another kind (where it can: else all of it goes)
 _NANP = r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w|[.-]\d)"
@@ -218,49 +248,88 @@ CODE = re.compile(
 )
 # what no match can do without, whatever stands next to it: a digit, sign or key prefix; a title or given name and a space
 _CODE_NEEDS = r"[\d@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[bap]-|AIza"
-_NAME_NEEDS = rf"(?:{'|'.join(TITLES)})\.? |(?:{_NAMES}) "
+_NAME_NEEDS = rf"(?:{'|'.join(TITLES + NOUN_TITLES)})\.? |(?:{_NAMES}) |(?:{'|'.join(map(re.escape, CUES))})[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]"
 _CODE_HINT = re.compile(_CODE_NEEDS)
 _MAKE = {"email": _email, "secret": _secret, "iban": _iban, "ssn": lambda s, k: _by_format(s, k, "ssn", ["0123456789"]), "ip": _ip, "phone": _phone, "card": _card}
 
 
 @lru_cache(200_000)
-def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, key: bytes) -> str:
     return _MAKE[kind](value, key) if kind in _MAKE else {"value": _secret, "given": _given, "surname": _surname}[kind](value, key)
 
 
-def _code(m: re.Match, key: bytes, seen: list | None) -> str:
-    kind = m.lastgroup if m.lastgroup != "named" else "value"
-    value = m[kind]
-    if kind == "card":
-        digits = re.sub(r"\D", "", value)
-        if luhn(digits) and not (len(digits) == 16 and digits[0] in "3456"):
-            return m[0]
-    if kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
-        return m[0]
-    new = surrogate(kind, value, key)
-    if seen is not None:
-        seen.append((kind, value, new))
-    return (m["named"] or "") + new if kind == "value" else new
-
-
-def _name(m: re.Match, key: bytes, seen: list | None) -> str:
-    out = m[0]
-    for group in ("sur", "g1", "g2"):
-        if m[group]:
-            kind = "surname" if group == "sur" else "given"
-            new = surrogate(kind, m[group], key)
-            if seen is not None:
-                seen.append((kind, m[group], new))
-            a, z = m.span(group)
-            out = out[: a - m.start()] + new + out[z - m.start() :]
+def _codes(text: str) -> Iterator[tuple[int, int, str, str]]:
+    for m in CODE.finditer(text):
+        kind = m.lastgroup if m.lastgroup != "named" else "value"
+        value = m[kind]
+        if kind == "card":
+            digits = re.sub(r"\D", "", value)
+            if luhn(digits) and not (len(digits) == 16 and digits[0] in "3456"):
+                continue
+        if kind == "iban" and _iban_rest(value.replace(" ", "")) != 1:
+            continue
+        yield *m.span(kind), kind, value
+
+
+def _named(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The parts of the names that stand out, and of those that a conjunction adds."""
+    m = NAME.search(text)
+    while m:
+        for group, value in m.groupdict().items():
+            if value:
+                yield *m.span(group), "surname" if group == "sur" else "given", value
+        m = ANOTHER.match(text, m.end()) or NAME.search(text, m.end())
+
+
+def find(text: str, names: bool = True) -> list[tuple[int, int, str, str, bool]]:
+    """Start, end, type and entity of all mentions, in order, none over another; and whether it stands in capitals."""
+    found = [(a, z, kind, value, False) for a, z, kind, value in (_codes(text) if _CODE_HINT.search(text) else ())]
+    if not names:
+        return found
+    taken = np.array([x[:2] for x in found], np.int64).reshape(-1, 2)
+
+    def free(a: int, z: int) -> bool:
+        k = int(np.searchsorted(taken[:, 1], a, "right"))
+        return k == len(taken) or taken[k, 0] >= z
+
+    named = [x for x in _named(text) if free(x[0], x[1])]
+    kinds: dict[str, tuple[str, str]] = {}
+    for _, _, kind, value in named:
+        kinds.setdefault(value, (kind, value))
+    for value in list(kinds):
+        kinds.setdefault(value.upper(), kinds[value])
+    mentions = [(a, z, kind, value, False) for a, z, kind, value in named]
+    own = {x[0] for x in named}
+    if kinds:
+        again = regex.compile(r"(?<!\w)\L<parts>(?!\w)", parts=list(kinds))
+        for m in again.finditer(text):
+            if m.start() not in own and free(*m.span()):
+                kind, value = kinds[m[0]]
+                mentions.append((*m.span(), kind, value, m[0] != value))
+    out: list[tuple[int, int, str, str, bool]] = []
+    for x in sorted(found + mentions):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
     return out
 
 
-def replace(text: str, key: bytes = KEY, seen: list | None = None, names: bool = True) -> str:
+def replace(text: str, key: bytes, seen: list | None = None, names: bool = True) -> str:
     """The text with surrogates; seen gets (type, entity, surrogate) of each replacement."""
-    if _CODE_HINT.search(text):
-        text = CODE.sub(lambda m: _code(m, key, seen), text)
-    return NAME.sub(lambda m: _name(m, key, seen), text) if names else text
+    parts, at = [], 0
+    for a, z, kind, value, capitals in find(text, names):
+        new = surrogate(kind, value, key)
+        if seen is not None:
+            seen.append((kind, value, new))
+        parts += [text[at:a], new.upper() if capitals else new]
+        at = z
+    return "".join([*parts, text[at:]])
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's configuration; where there is none, a random one is made and set for this session."""
+    if not spark.conf.get(KEY_CONF, None):
+        spark.conf.set(KEY_CONF, secrets.token_hex(32))
+    return spark.conf.get(KEY_CONF).encode()
 
 
 def _hits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -269,8 +338,9 @@ def _hits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return has(_CODE_NEEDS.replace(r"\d", r"\p{Nd}")), has(_NAME_NEEDS)
 
 
-def replace_all(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_all(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with surrogates in text, and n_chars set where a text changed."""
+    key = key or session_key(docs.sparkSession)
     names = docs.schema.names
     at = names.index("text")
 
@@ -296,8 +366,9 @@ def replace_all(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return map_batches(docs, each, docs.schema)
 
 
-def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def entities(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, type, entity, surrogate of every replacement."""
+    key = key or session_key(docs.sparkSession)
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch | None:
         code, name = _hits(b.column(1))
