@@ -271,16 +271,6 @@ def test_packing_counts_bpe_tokens(spark, docs):
     assert got.groupby("doc_id").tokens.sum().to_dict() == want and (got.doc_id == len(ODD)).sum() > 1
 
 
-def test_media_round_trip():
-    for i, text in enumerate(["a", "one\ntwo\nthree\nfour\nfive", "x\n" * 40]):
-        data = media.container(i, text)
-        (t,) = media.inspect(data)
-        samples = [s.encode() + b"\n" for s in text.split("\n")]
-        assert t["error"] is None and t["samples"] == len(samples) and t["duration"] == 40 * len(samples) / 1000
-        assert [data[k["offset"] : k["offset"] + k["size"]] for k in t["keyframes"]] == samples[:: 1 if t["codec"] == "mp4a" else 4]
-        assert media.inspect(data[: len(data) // 3])[0]["error"]
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
