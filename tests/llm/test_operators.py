@@ -99,49 +99,6 @@ def test_bpe_equals_a_reference(docs):
         assert c.decode(tokens[a:b]).decode() == t
 
 
-def test_fingerprint_levels_by_brute_force():
-    rng = np.random.default_rng(2)
-    data = rng.integers(97, 110, 400).astype(np.uint8)
-    want = []
-    for i in range(len(data) - 63):
-        s = sum(int(fingerprint._NLOGN[n]) for n in np.bincount(data[i : i + 64]))
-        e = 6 * 64 * fingerprint.SCALE - s
-        want.append(min(max(e * fingerprint.LEVELS // (6 * 64 * fingerprint.SCALE + 1), 0), fingerprint.LEVELS - 1))
-    assert fingerprint.levels(data).tolist() == want
-
-
-def test_fingerprint_compare(docs):
-    texts = [r["text"] for r in docs.where("n_chars > 3000").limit(6).collect()]
-    ranks = fingerprint.level_ranks(docs)
-
-    def digest(t):
-        data, off = K.buffers(pa.array([t]))
-        return fingerprint.filters(*fingerprint.features(data, off, ranks), 1)[0]
-
-    d = [digest(t) for t in texts]
-    assert fingerprint.compare(d[0], d[0]) == 1.0
-    assert fingerprint.compare(d[0], digest(texts[0][:1500] + " changed " + texts[0][1500:])) > 0.6
-    assert fingerprint.compare(d[0], b"") == 0.0
-
-
-def test_fingerprint_matches_by_brute_force(spark):
-    rng = random.Random(4)
-    sets = {i: {rng.randrange(150) for _ in range(rng.randint(0, 25))} for i in range(60)}
-    sets |= {60: sets[7], 61: sets[7], 62: sets[3] | sets[4], 63: {1000, 1001}, 64: {1001, 1000}, 65: {2000}}
-    made = spark.createDataFrame([(i, sorted(s, key=lambda x: (x * 7919 + i) % 1009) + sorted(s)[:1]) for i, s in sets.items()] + [(None, [1, 2])], "doc_id long, features array<long>")
-    want = {}
-    for i, a in sets.items():
-        found = [(-len(a & b) / len(a | b), j) for j, b in sets.items() if j != i and a & b]
-        if found:
-            want[i] = min(found)[1]
-    assert {r["id"]: r["match"] for r in fingerprint.matches(made).collect()} == want
-    lists = pa.array([[1, 2, 3], [4, 5], list(range(10, 20)), [6, 7, 8]])
-    for most in (2, 7, 1000):
-        got = sorted(tuple(r.values()) for b in fingerprint._pairs(lists, np.array([1, 2, 3, 4]), most) for r in b.to_pylist())
-        assert got == sorted((a, b, w) for ids, w in zip(lists.to_pylist(), (1, 2, 3, 4), strict=True) for a in ids for b in ids if a < b)
-    assert want[7] == 60 and want[60] == 7 and want[63] == 64 and 65 not in want
-
-
 def test_lines_by_brute_force(spark):
     rng = random.Random(3)
     base = [[rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(rng.randint(7, 12))] for _ in range(12)]
