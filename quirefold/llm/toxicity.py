@@ -6,7 +6,8 @@ labelled rows), how near they stand to a second-person pronoun, capitals, punctu
 Defined results: a null or empty text has all features at 0, and its score is what the model gives that row; repeated
 rows each get the same score; a null doc_id keeps its row; without labelled rows of both classes the score is the share of
 toxic labels (0 with none) and nothing is rejected; an empty table gives an empty result. Labels that are null, or whose
-doc_id is null or labelled both ways, aren't used. Only doc_id and text are read; all other columns pass through as they are.
+doc_id is null or labelled both ways, aren't used; equal texts of one label count once in the fit; rows that share a doc_id are all
+labelled by it. Only doc_id and text are read; all other columns pass through as they are.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm import boosting
 from quirefold.llm import textkernel as K
-from quirefold.llm.common import map_batches, spread_sample
+from quirefold.llm.common import map_batches, spread_sample, written
 
 INSULTS = (
     "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool ugly hate imbecile jerk garbage "
@@ -29,7 +30,7 @@ INSULTS = (
     "dégoûtant débile ordure idiota imbécil estúpido basura asqueroso inútil patético payaso tonto"
 ).split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos tú usted ustedes ti tus vosotros".split()
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS, NEAR_WORDS, FOLDS = 8000, 50_000, 6, 4
+MAX_TRAIN_ROWS, NEAR_WORDS, FOLDS = 8000, 6, 4
 PREFIXES = (4, 5, 6)
 _LEET = np.arange(256, dtype=np.uint8)
 for a, b in zip(b"0134578@$!", b"oieastbasi", strict=True):
@@ -147,65 +148,79 @@ def contents(texts: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {k: tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.uint64)) for k, found in parts.items()}
 
 
-def unlike(found: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """One text of those that agree in their three smallest word hashes: copies of one text count once."""
-    doc, h = found[0]
-    begin, seen, keep = np.searchsorted(doc, np.arange(n + 1)), set(), np.zeros(n, bool)
-    for i in range(n):
-        key = tuple(h[begin[i] : min(begin[i] + 3, begin[i + 1])].tolist())
-        keep[i] = key not in seen
-        seen.add(key)
-    return keep
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """h, y, fold, text: the distinct texts of at most max_rows labelled rows, each class dealt evenly over the folds."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("__a"), F.max("toxic").alias("__b")).where("__a = __b")
+    chosen = spread_sample(known.select("doc_id", F.lit(1).alias("__one")), "doc_id", "__one", max_rows)
+    chosen = chosen.join(known, chosen["__key"] == known["doc_id"]).select("__key", (F.col("__a") != 0).cast("int").alias("__toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__key"))
+    rows = rows.select(F.xxhash64("text").alias("h"), F.col("__toxic").alias("y"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h", "y"])
+    rows = written(rows, "labelled-texts")
+    folds = rows.select("h", "y").withColumn("fold", (F.row_number().over(Window.partitionBy("y").orderBy("h")) % FOLDS).cast("int"))  # max_rows rows at most
+    return rows.join(F.broadcast(folds), ["h", "y"]).select("h", "y", "fold", "text")
+
 
+def word_counts(rows: DataFrame, least: int = 3) -> pa.Table:
+    """kind (0: words, else the length of the beginning), value, and in how many clean (c0, ...) and toxic (t0, ...) texts of each fold; those in `least` toxic texts."""
 
-def learn_lexicon(found: dict[int, tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, use: np.ndarray, ratio: float = 15.0, least: int = 3) -> Lexicon:
-    """Words and word beginnings in at least `least` toxic texts, `ratio` times as frequent there as in the others; use: the texts that count."""
-    bad, good = max(int((use & toxic).sum()), 1), max(int((use & ~toxic).sum()), 1)
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        y, fold = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        kinds, docs, values = zip(*((np.full(len(d), k, np.int32), d, v) for k, (d, v) in contents(b.column(2)).items()), strict=True)
+        doc = np.concatenate(docs)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(values).view(np.int64)), pa.array((fold[doc] + FOLDS * y[doc]).astype(np.int32))], ["kind", "value", "part"])
+
+    found = map_batches(rows.select("y", "fold", "text"), each, "kind int, value long, part int")
+    parts = [F.count_if(F.col("part") == i).alias(f"{'ct'[i // FOLDS]}{i % FOLDS}") for i in range(2 * FOLDS)]
+    counted = found.groupBy("kind", "value").agg(*parts)
+    return counted.where(sum((F.col(f"t{i}") for i in range(1, FOLDS)), F.col("t0")) >= least).toArrow()
 
-    def enriched(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
-        value, t = value[use[doc]], toxic[doc[use[doc]]]
-        u, ft = np.unique(value[t], return_counts=True)
-        u, ft = u[ft >= least], ft[ft >= least]
-        clean = np.sort(value[~t])
-        fc = np.searchsorted(clean, u, "right") - np.searchsorted(clean, u)
-        return u[ft / bad >= ratio * (fc + 0.5) / good]
 
-    return Lexicon(enriched(*found[0]), {k: enriched(*found[k]) for k in PREFIXES}, _hashes(INSULTS), _hashes(SECOND_PERSON))
+def learn_lexicon(counts: pa.Table, texts: np.ndarray, without: int | None = None, ratio: float = 15.0, least: int = 3) -> Lexicon:
+    """Words and word beginnings in at least `least` toxic texts, `ratio` times as frequent there as in the others; texts: how many of each class (row) and fold.
 
+    without: a fold whose texts don't count.
+    """
+    use = [i for i in range(FOLDS) if i != without]
+    clean, toxic = (sum((counts[f"{c}{i}"].to_numpy() for i in use), np.zeros(counts.num_rows, np.int64)) for c in "ct")
+    good, bad = (max(int(t[use].sum()), 1) for t in texts)
+    keep = (toxic >= least) & (toxic / bad >= ratio * (clean + 0.5) / good)
+    kind, value = counts["kind"].to_numpy()[keep], counts["value"].to_numpy()[keep].view(np.uint64)
+    return Lexicon(np.sort(value[kind == 0]), {k: np.sort(value[kind == k]) for k in PREFIXES}, _hashes(INSULTS), _hashes(SECOND_PERSON))
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
-    """Fits on at most max_rows labelled rows (the smallest hashes of doc_id) of at most max_chars characters.
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
+    """Fits on the distinct texts of at most max_rows labelled rows (the smallest hashes of doc_id), whole texts of any length.
 
     The lexicon comes from all of them; the trees are fitted to features from lexicons of the other folds, and the fold that
-    they don't see gives the calibration.
+    they don't see gives the calibration. Words are counted and features made on the executors; the driver gets the words that
+    enough toxic texts share, and N_FEATURES numbers a text.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("__a"), F.max("toxic").alias("__b")).where("__a = __b")
-    chosen = spread_sample(known.select("doc_id", F.lit(1).alias("__one")), "doc_id", "__one", max_rows)
-    chosen = chosen.join(known, chosen["__key"] == known["doc_id"]).select("__key", F.col("__a").alias("__toxic"))
-    rows = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__key"))
-    got = rows.select(F.col("__key").alias("k"), F.col("text").alias("t"), F.col("__toxic").cast("int").alias("y")).dropDuplicates(["k"]).toArrow()
-    got = got.take(pc.sort_indices(got, sort_keys=[("k", "ascending")])).combine_chunks() if got.num_rows else got
-    y = got["y"].to_numpy().astype(bool)
-    empty = Lexicon(*(np.zeros(0, np.uint64),), {}, _hashes(INSULTS), _hashes(SECOND_PERSON))
-    prior = float(y.mean()) if len(y) else 0.0
-    if not 0 < y.sum() < len(y):
-        return Model(empty, None, None, min(prior, 0.49))
-    texts = got["t"].combine_chunks() if isinstance(got["t"], pa.ChunkedArray) else got["t"]
-    fold = np.zeros(len(y), np.int64)
-    for cls in (True, False):  # each class is dealt alike, whatever the order of ids
-        own = np.flatnonzero(y == cls)
-        fold[own[np.argsort(K.mix(own.astype(np.uint64) + np.uint64(17)), kind="stable")]] = np.arange(len(own)) % FOLDS
-    found = contents(texts)
-    once = unlike(found, len(y))
-    x = np.zeros((len(y), N_FEATURES))
-    for k in range(FOLDS):  # the trees see each row through a lexicon that was learned without it
-        own = np.flatnonzero(fold == k)
-        x[own] = features(texts.take(pa.array(own)), learn_lexicon(found, y, once & (fold != k)))
-    held = fold == 0
+    rows = labelled(docs, labels, max_rows)
+    texts = np.zeros((2, FOLDS), np.int64)
+    for r in rows.groupBy("y", "fold").agg(F.count("*").alias("n")).collect():
+        texts[r["y"], r["fold"]] = r["n"]
+    if not texts.sum(1).all():
+        prior = texts[1].sum() / max(texts.sum(), 1)
+        return Model(Lexicon(np.zeros(0, np.uint64), {}, _hashes(INSULTS), _hashes(SECOND_PERSON)), None, None, min(float(prior), 0.49))
+    counts = word_counts(rows)
+    lexicons = [learn_lexicon(counts, texts, k) for k in range(FOLDS)]  # the trees see each text through a lexicon that was learned without it
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        fold = b.column(2).to_numpy(zero_copy_only=False)
+        x = np.zeros((b.num_rows, N_FEATURES))
+        for k in np.unique(fold):
+            own = np.flatnonzero(fold == k)
+            x[own] = features(b.column(3).take(pa.array(own)), lexicons[k])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c) for c in x.T)], ["h", "y", "fold", *(f"x{i}" for i in range(N_FEATURES))])
+
+    got = map_batches(rows, each, "h long, y int, fold int, " + ", ".join(f"x{i} double" for i in range(N_FEATURES))).toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("h", "ascending"), ("y", "ascending")]))
+    x, y = np.stack([got[f"x{i}"].to_numpy() for i in range(N_FEATURES)], 1), got["y"].to_numpy().astype(bool)
+    held = got["fold"].to_numpy() == 0
     trees = ~held if 0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum() else held | True
     forest = boosting.fit_forest(x[trees], y[trees].astype(float))
     held = held if not trees.all() else trees
-    return Model(learn_lexicon(found, y, once), forest, boosting.fit_isotonic(forest.raw(x[held]), y[held].astype(float)), prior)
+    return Model(learn_lexicon(counts, texts), forest, boosting.fit_isotonic(forest.raw(x[held]), y[held].astype(float)), float(y.mean()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -180,20 +180,6 @@ def test_quality_held_out(more):
     assert got.where("quality = y").count() >= 0.95 * got.count()
 
 
-def test_toxicity_held_out(more):
-    docs, labels = more
-    part = F.crc32(F.col("doc_id").cast("string")) % 4
-    got = toxicity.score(docs, toxicity.fit(docs, labels.where(part > 0))).join(labels.where(part == 0).selectExpr("doc_id", "toxic AS y"), "doc_id")
-    assert got.where("toxic = y").count() >= 0.9 * got.count()
-
-
-def test_isotonic_is_monotone():
-    from quirefold.llm.boosting import fit_isotonic
-
-    x, y = fit_isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
-    assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()
-
-
 def test_nnls_and_plan():
     a = np.array([[1.0, 0, 1], [0, 1, 1]])
     x = packing.nnls(a, np.array([3.0, 2.0]))
