@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quirefold.llm import textkernel as K
 from quirefold.llm.common import map_batches, spread_sample
 
-BLOCK, TRAIN_TEXTS, TRAIN_CHARS, MAX_TRAIN_DOC, TRIES = 1024, 60, 16_000, 20_000, 16
+BLOCK, TRAIN_TEXTS, TRAIN_CHARS, TRIES = 1024, 60, 16_000, 16
 
 
 def codepoints(texts: list[str]) -> np.ndarray:
@@ -172,15 +172,21 @@ def build(training: dict[str, str]) -> Model:
     return m
 
 
-def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS, max_doc: int = MAX_TRAIN_DOC) -> Model:
-    """Trains on at most `chars` characters of at most `texts` labelled rows (smallest hashes of doc_id) of each language."""
-    chosen = spread_sample(docs.where(F.length("text") <= max_doc), "doc_id", "lang", texts)
-    rows = docs.where(F.length("text") <= max_doc).select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__key")) & (F.col("lang") == F.col("__by")))
-    got: dict[str, str] = {}
-    for r in sorted(rows.select("lang", "doc_id", "text").distinct().collect()):
-        if r["text"] and len(got.get(r["lang"], "")) < chars:
-            got[r["lang"]] = (got.get(r["lang"], "") + " " + r["text"])[:chars]
-    return build(got)
+def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> Model:
+    """Trains on labelled rows: of each language at most `texts` (the smallest hashes of doc_id), whole texts while they come to `chars` characters at most.
+
+    A language none of whose texts is that short has the beginning of its shortest one. The driver gets `chars` characters of a text at most.
+    """
+    chosen = spread_sample(docs, "doc_id", "lang", texts)
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__key")) & (F.col("lang") == F.col("__by")))
+    some = rows.select("lang", "doc_id", F.length("text").alias("n"), F.substring("text", 1, chars).alias("t")).where("n > 0").distinct().collect()
+    got: dict[str, list[str]] = {}
+    for r in sorted(some):
+        if sum(len(t) + 1 for t in got.setdefault(r["lang"], [])) + r["n"] <= chars:
+            got[r["lang"]].append(r["t"])
+    for lang in [k for k, v in got.items() if not v]:
+        got[lang] = [min((r["n"], r["doc_id"], r["t"]) for r in some if r["lang"] == lang)[2]]
+    return build({lang: " ".join(v) for lang, v in got.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

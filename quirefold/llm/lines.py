@@ -1,8 +1,8 @@
 """Line dedup: a line goes when an earlier one is equal or within one word edit of it.
 
-Lines are compared in normal form (lower case, white space collapsed). Earlier means a smaller (doc_id, line number). Lines of
-fewer than MIN_WORDS words always stay; an edit (one word replaced, added or left out) counts only where the shorter line
-has EDIT_WORDS words or more.
+Lines are compared in normal form (lower case, white space collapsed). Earlier means a smaller (doc_id, line number). Lines
+without words (fewer than MIN_WORDS) always stay. The edit bound is one word (replaced, added or left out) where the shorter
+line has EDIT_WORDS words or more, and none in shorter lines, of which one word is too large a part.
 
 The join is on deletion neighbourhoods: a line emits the hash of itself and of itself without each word. Two lines within one
 edit share such a variant: both without the word at the same place, or the longer without one word and the shorter as it is.
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quirefold.llm import textkernel as K
 from quirefold.llm.common import ROW, packed, split_by_ids, written
 
-MIN_WORDS, EDIT_WORDS = 3, 8
+MIN_WORDS, EDIT_WORDS = 1, 8
 _KEYS = ("p0", "s0", "p1", "s1")
 
 

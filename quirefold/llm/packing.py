@@ -1,7 +1,7 @@
 """Packing texts into windows of a fixed number of tokens by non-negative least squares on the histogram of lengths.
 
-Tokens are those of the byte-pair vocabulary (bpe_counts), or words between white space (token_counts), plus one that ends each text. A text longer than the window is cut into full windows and
-a rest, so no token is lost. Rests are binned by length (bins of STEP tokens, rounded up); all combinations of at most DEPTH
+Tokens are those of the byte-pair vocabulary (bpe_counts), or words between white space (token_counts), plus one that ends each
+text. A text longer than the window is cut into full windows and a rest, so no token is lost. Rests are binned by length (bins of STEP tokens, rounded up); all combinations of at most DEPTH
 bins that fill a window are enumerated, and the repeat counts that fit the histogram best with none below zero are solved
 for, rounded, and cut to what is there. What remains is packed greedily, best fit first, again on the histogram. The plan
 is as large as the number of bins, whatever the number of texts; each text finds its place in it by its rank in its bin,
@@ -27,6 +27,8 @@ from quirefold.llm import bpe
 from quirefold.llm.common import written
 
 WINDOW, STEP, DEPTH = 2048, 16, 3
+#: So many rows share one rank within a bin: what the driver holds is a number for each bin and each shard of this size.
+SHARD_ROWS = 250_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
@@ -133,12 +135,14 @@ def bpe_counts(docs: DataFrame) -> DataFrame:
     return bpe.counts(docs).where("tokens > 0").select("doc_id", (F.col("tokens") + 1).alias("tokens"))
 
 
-def pack(counts: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, shards: int = 64) -> DataFrame:
+def pack(counts: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """window_id, slot, doc_id, start, tokens: which tokens of which text stand where.
 
     window_id is a pair (plan: 0 for texts' full windows, 1 for rests; number), flattened to one integer: rests come first.
     """
-    counts = written(counts.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).cast("int").alias("shard")), "token-counts")
+    counts = written(counts.select("doc_id", "tokens").where("tokens > 0"), "token-counts")
+    shards = max(8, -(-counts.count() // shard_rows))
+    counts = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).cast("int"))
     whole = F.floor(F.col("tokens") / window).cast("long")
     rest = F.col("tokens") - whole * window
     rests = counts.where(rest > 0).select("doc_id", (whole * window).alias("start"), rest.alias("tokens"), F.ceil(rest / step).cast("int").alias("bin"), "shard")
@@ -146,7 +150,7 @@ def pack(counts: DataFrame, window: int = WINDOW, step: int = STEP, depth: int =
     sizes = {(r["bin"], r["shard"]): r["n"] for r in rests.groupBy("bin", "shard").agg(F.count("*").alias("n")).collect()}  # bins x shards rows at most
     full_sizes = {r["shard"]: r["n"] for r in fulls.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     histogram: Counter = Counter()
-    base: dict[tuple[int, int], int] = {}
+    base = np.zeros((window // step + 2, shards), np.int64)
     for (b, s), n in sorted(sizes.items()):
         base[b, s] = histogram[b]
         histogram[b] += n
@@ -171,7 +175,7 @@ def pack(counts: DataFrame, window: int = WINDOW, step: int = STEP, depth: int =
             for one in np.unique(b):
                 own = np.flatnonzero(b == one)
                 t = table[int(one)]
-                at = r[own] - 1 + np.array([base[int(one), int(x)] for x in s[own]], np.int64)
+                at = r[own] - 1 + base[one, s[own]]
                 i = np.searchsorted(t[:, 0], at, "right") - 1
                 within = at - t[i, 0]
                 out_w[own], out_s[own] = t[i, 1] + within // t[i, 2], t[i, 3] + within % t[i, 2]
@@ -180,15 +184,14 @@ def pack(counts: DataFrame, window: int = WINDOW, step: int = STEP, depth: int =
     schema = "window_id long, slot int, doc_id long, start long, tokens long"
     ranked = rests.withColumn("rank", F.row_number().over(Window.partitionBy("bin", "shard").orderBy("doc_id", "start")).cast("long"))
     packed = ranked.select(F.col("doc_id").cast("long"), "start", "tokens", "bin", "shard", "rank").mapInArrow(place, schema)
-    begin, bases = plan.windows, {}
+    begin, bases = plan.windows, []
     for s in sorted(full_sizes):
-        bases[s] = begin
+        bases.append((s, begin))
         begin += full_sizes[s]
-    offset = F.lit(0).cast("long")
-    if bases:
-        offset = F.element_at(F.create_map(*[F.lit(x) for s in sorted(bases) for x in (int(s), int(bases[s]))]), F.col("shard")).cast("long")
+    begins = counts.sparkSession.createDataFrame(bases, "shard int, begin long")  # a row for each shard
     w = Window.partitionBy("shard").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = fulls.select("doc_id", "n", (offset + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("at"))
+    summed = fulls.select("doc_id", "n", "shard", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    numbered = summed.join(F.broadcast(begins), "shard").select("doc_id", "n", (F.col("begin") + F.col("before")).alias("at"))
     pieces = numbered.select("doc_id", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     full_rows = pieces.select((F.col("at") + F.col("k")).alias("window_id"), F.lit(0).alias("slot"), F.col("doc_id").cast("long"), (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("tokens"))
     return packed.union(full_rows)
