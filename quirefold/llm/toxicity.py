@@ -3,8 +3,8 @@
 The features are densities of lexicon words (a small built-in list, and words and word beginnings learned from the
 labelled rows), how near they stand to a second-person pronoun, capitals, punctuation, and rates of obfuscated spellings.
 
-Defined results: a null or empty text has all features at 0, and its score is what the model gives that row; repeated
-rows each get the same score; a null doc_id keeps its row; without labelled rows of both classes the score is the share of
+Defined results: a text with all features at 0 (null and empty ones too) shows nothing toxic: its score is what the model gives
+such a row, but never more than the share of toxic labels, and it isn't rejected; repeated rows each get the same score; a null doc_id keeps its row; without labelled rows of both classes the score is the share of
 toxic labels (0 with none) and nothing is rejected; an empty table gives an empty result. Labels that are null, or whose
 doc_id is null or labelled both ways, aren't used; equal texts of one label count once in the fit; rows that share a doc_id are all
 labelled by it. Only doc_id and text are read; all other columns pass through as they are.
@@ -61,8 +61,10 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.forest is None:
             return np.full(len(texts), self.prior)
-        raw = self.forest.raw(features(texts, self.lexicon))
-        return np.interp(raw, *self.knots) if self.knots else 1 / (1 + np.exp(-raw))
+        x = features(texts, self.lexicon)
+        raw = self.forest.raw(x)
+        out = np.interp(raw, *self.knots) if self.knots else 1 / (1 + np.exp(-raw))
+        return np.where(x.any(1), out, np.minimum(out, min(self.prior, 0.49)))
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
