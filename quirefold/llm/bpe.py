@@ -28,7 +28,7 @@ from quirefold.llm.common import map_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, CACHE = 64, 400_000
+SHORT, CACHE = 64, 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -154,8 +154,8 @@ class Codec:
         for upper in (4, 8, 12, 16, 24, 32, SHORT):
             own = np.flatnonzero((size > lower) & (size <= upper))
             lower = upper
-            for a in range(0, len(own), 50_000):
-                some = own[a : a + 50_000]
+            for a in range(0, len(own), 10_000):
+                some = own[a : a + 10_000]
                 raw = np.frombuffer(b"".join(new[i].ljust(upper, b"\0") for i in some), np.uint8).reshape(len(some), upper)
                 parts, n = self.byte[raw], size[some].copy()
                 self.merge_rows(parts, n)
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, shipped.value, pattern)
         for batch in batches:
-            for a, z in K.slices(batch.column(1), 4 << 20):
+            for a, z in K.slices(batch.column(1), 2 << 20):
                 col = batch.column(1).slice(a, z - a)
                 null = pc.is_null(col).to_numpy(zero_copy_only=False)
                 tokens, off = c.encode(pc.fill_null(col, "").to_pylist())
@@ -233,6 +233,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
                     exact = np.array([back[p:q].tobytes() == raw[s:e].tobytes() for p, q, s, e in zip(bytes_at, bytes_at[1:], ends, ends[1:], strict=False)], bool)
                 offsets = pa.array(off.astype(np.int32), mask=np.append(null, False))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.array(exact, mask=null)], ["doc_id", "tokens", "exact"])
+        c.clear()  # the worker lives on and may have other things to do
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, tokens array<int>, exact boolean")
 
@@ -241,13 +242,16 @@ def counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     """doc_id, tokens: how many tokens encode gives; null for a null text."""
     shipped = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # noqa: SIM115
 
-    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, shipped.value, pattern)
-        parts = [c.counts(pc.fill_null(b.column(1).slice(a, z - a), "").to_pylist()) for a, z in K.slices(b.column(1), 4 << 20)]
-        null = pc.is_null(b.column(1)).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(parts).astype(np.int64), mask=null)], ["doc_id", "tokens"])
-
-    return map_batches(docs.select("doc_id", "text"), each, "doc_id long, tokens long")
+        for b in batches:
+            parts = [c.counts(pc.fill_null(b.column(1).slice(a, z - a), "").to_pylist()) for a, z in K.slices(b.column(1))]
+            null = pc.is_null(b.column(1)).to_numpy(zero_copy_only=False)
+            n = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, mask=null)], ["doc_id", "tokens"])
+        c.clear()
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, tokens long")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
