@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,24 +16,40 @@ SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "AHx": "ASCIIHexDecode", "A85"
 _SPACE = b" \t\r\n\x0c\x00"
 
 
-def flate(data: bytes, params: dict | None = None) -> bytes:
-    """zlib, then raw deflate; what came out before damage is kept."""
-    for wbits in (15, -15):
-        for start in (0, *(i for i in range(1, min(len(data), 8)) if data[i] == 0x78)):
-            d, out = zlib.decompressobj(wbits), b""
+def _inflate(data: bytes, wbits: int) -> tuple[bytes, bool]:
+    """What comes out before the end or the first damage, and whether that was all in order."""
+    d, parts, size = zlib.decompressobj(wbits), [], 0
+    for at in range(0, len(data), 4096):
+        try:
+            parts.append(d.decompress(data[at : at + 4096], LIMIT - size + 1))
+        except zlib.error:
+            again = zlib.decompressobj(wbits)
+            parts = [again.decompress(data[:at])]
             try:
-                out = d.decompress(data[start:], LIMIT)
+                for i in range(at, at + 4096):  # the damage lies in this block: its beginning may still give something
+                    parts.append(again.decompress(data[i : i + 1]))
             except zlib.error:
-                d, parts = zlib.decompressobj(wbits), []
-                try:
-                    for i in range(start, len(data)):
-                        parts.append(d.decompress(data[i : i + 1]))
-                except zlib.error:
-                    pass
-                out = b"".join(parts)
-            if out:
-                return predict(out, params)
-    if data:
+                pass
+            return b"".join(parts), False
+        size += len(parts[-1]) if parts else 0
+        if size > LIMIT:
+            raise ValueError("too much data")
+        if d.eof:
+            break
+    return b"".join(parts), True
+
+
+def flate(data: bytes, params: dict | None = None) -> bytes:
+    """zlib, then raw deflate, then zlib behind leading junk; what came out before damage is kept."""
+    best = b""
+    for wbits, start in [(15, 0), (-15, 0), *((15, i) for i in range(1, min(len(data), 8)) if data[i] == 0x78)]:
+        out, whole = _inflate(data[start:], wbits)
+        if whole and out:
+            return predict(out, params)
+        best = best or out
+    if best:
+        return predict(best, params)
+    if data.strip(_SPACE) and not _inflate(data, 15)[1]:
         raise ValueError("not deflate data")
     return b""
 
@@ -114,28 +131,64 @@ def lzw(data: bytes, params: dict | None = None) -> bytes:
 
 
 def predict(data: bytes, params: dict | None) -> bytes:
-    """Undoes the PNG predictors and TIFF's, 8 bits a component."""
+    """Undoes the PNG predictors and TIFF's (8 bits a component); rows at a time, bytes in order only where a row needs it."""
     p = params or {}
     kind, colors, bits, columns = (int(p.get(k, d)) for k, d in (("Predictor", 1), ("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1)))
-    if kind < 2:
+    if kind < 2 or not data:
         return data
-    bpp, row = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
-    out, above = bytearray(), bytearray(row)
-    step = row if kind == 2 else row + 1
-    for at in range(0, len(data), step):
-        line = bytearray(data[at + (kind != 2) : at + step])
-        how = 1 if kind == 2 else data[at]
-        for i in range(len(line)):
-            a, b, c = (line[i - bpp] if i >= bpp else 0), above[i], (above[i - bpp] if i >= bpp else 0)
-            if how == 4:
-                dist = [abs(b - c), abs(a - c), abs(a + b - 2 * c)]
-                add = (a, b, c)[dist.index(min(dist))]
-            else:
-                add = (0, a, b, (a + b) // 2)[how] if how < 4 else 0
-            line[i] = (line[i] + add) & 255
-        out += line
-        above = line + bytearray(row - len(line))
-    return bytes(out)
+    if not (0 < colors <= 32 and 0 < bits <= 32 and 0 < columns <= 1 << 24) or (colors * bits * columns + 7) // 8 >= LIMIT:
+        raise ValueError("a predictor of an impossible shape")
+    bpp, row = max(1, (colors * bits + 7) // 8), (colors * bits * columns + 7) // 8
+    if kind == 2:
+        if bits != 8:
+            raise ValueError("a TIFF predictor of other than 8 bits")
+        whole = len(data) // row * row
+        rows = np.frombuffer(data, np.uint8, whole).reshape(-1, columns, colors)
+        return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes() + data[whole:]
+    count = -(-len(data) // (row + 1))
+    rows = np.zeros((count, row + 1), np.uint8)
+    rows.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
+    how, out = rows[:, 0], rows[:, 1:]
+    if how.max() > 4:
+        raise ValueError("an unknown PNG filter")
+    above = np.zeros(row, np.uint8)
+    at = 0
+    while at < count:
+        end = at + 1
+        while end < count and how[end] == how[at]:
+            end += 1
+        some = out[at:end]
+        if how[at] == 1:  # each byte adds the one bpp before it
+            wide = np.zeros((len(some), -(-row // bpp) * bpp), np.uint8)
+            wide[:, :row] = some
+            some[:] = np.cumsum(wide.reshape(len(some), -1, bpp), axis=1, dtype=np.uint8).reshape(len(some), -1)[:, :row]
+        elif how[at] == 2:
+            some[0] += above
+            np.cumsum(some, axis=0, dtype=np.uint8, out=some)
+        elif how[at] > 2:
+            up = above.tolist()
+            for line in some:
+                up = _sequential(line.tolist(), up, bpp, how[at] == 4)
+                line[:] = up
+        above, at = out[end - 1], end
+    return out.tobytes()
+
+
+def _sequential(line: list[int], up: list[int], bpp: int, paeth: bool) -> list[int]:
+    for i, value in enumerate(line):
+        a, c = (line[i - bpp], up[i - bpp]) if i >= bpp else (0, 0)
+        b = up[i]
+        if paeth:
+            near = (abs(b - c), abs(a - c), abs(a + b - 2 * c))
+            add = a if near[0] <= near[1] and near[0] <= near[2] else b if near[1] <= near[2] else c
+        else:
+            add = (a + b) >> 1
+        line[i] = (value + add) & 255
+    return line
+
+
+def is_image(name: str) -> bool:
+    return name in IMAGE_FILTERS
 
 
 DECODERS: dict[str, Callable[[bytes, dict | None], bytes]] = {"FlateDecode": flate, "LZWDecode": lzw, "ASCIIHexDecode": ascii_hex, "ASCII85Decode": ascii85, "RunLengthDecode": run_length, "Crypt": lambda d, _: d}

@@ -11,6 +11,7 @@ from quirefold.functions import codecs
 from quirefold.functions import geometry as G
 from quirefold.functions import scalars as S
 from quirefold.operators import joins, markdown, metrics, outline, segments
+from quirefold.plans import files
 from quirefold.plans.derived import derive, with_sql
 from quirefold.sources import markup
 
@@ -392,13 +393,6 @@ def filter_roundtrip(spark, sf):
     return read(spark, sf, "documents").select("doc_id", hexed.cast("string").alias("text")).withColumn("digest", F.sha2("text", 256))
 
 
-@query("SELECT p_partkey, CAST(unnest(range(p_size % 4, p_size % 4 + 3)) AS BIGINT) AS code, 65 + unnest(range(0, 3)) AS unicode FROM part")
-def cmap_expand(spark, sf):
-    lo = (F.col("p_size") % 4).cast("long")
-    rows = read(spark, sf, "part").select("p_partkey", lo.alias("lo"), F.explode(F.sequence(lo, lo + 2)).alias("code"))
-    return rows.select("p_partkey", "code", (F.lit(65).cast("long") + F.col("code") - F.col("lo")).alias("unicode"))
-
-
 @query(
     """SELECT doc_id, CAST(0 AS INT) AS block_ix, CAST(1 AS INT) AS page, 'heading' AS role, CAST(doc_id % 3 + 2 AS INT) AS level, source AS text FROM documents UNION ALL SELECT doc_id, 2, 2, 'list_item', NULL, lang FROM documents"""
 )
@@ -408,8 +402,8 @@ def doctags_blocks(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | files.oracle_sql()
