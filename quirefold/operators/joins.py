@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def mcid_join(refs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans that a reference claims by (page, mcid); the first reference in order gets a span."""
-    joined = refs.join(spans, ["doc_id", "page", "mcid"])
-    first = F.row_number().over(Window.partitionBy("doc_id", "span_id").orderBy("ord", "elem_id"))
-    return joined.withColumn("__r", first).where("__r = 1").drop("__r")
+    """Spans that a reference claims by (page, mcid). The first reference in order has all spans of its key, so it is chosen before the one join."""
+    key = ["doc_id", "page", "mcid"]
+    first = refs.groupBy(*key).agg(F.min(F.struct("ord", "elem_id")).alias("__first"))
+    return spans.join(first, key).withColumn("elem_id", F.col("__first.elem_id")).withColumn("ord", F.col("__first.ord")).drop("__first")
 
 
-def unplaced(spans: DataFrame, claimed: DataFrame) -> DataFrame:
-    return spans.join(claimed.select("doc_id", "span_id"), ["doc_id", "span_id"], "left_anti")
+def unplaced(spans: DataFrame, refs: DataFrame) -> DataFrame:
+    """Spans whose key no reference has."""
+    return spans.join(refs.select("doc_id", "page", "mcid"), ["doc_id", "page", "mcid"], "left_anti")
 
 
 def adopt_indents(spans: DataFrame) -> DataFrame:

@@ -52,19 +52,6 @@ def frontmatter(fields: dict[str, Column], flags: dict[str, Column]) -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
 
 
-def bundle(sections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """files(doc_id, path, content): a file for each section under its slug, /front-matter.md for what comes before, and index.md."""
-    name = S.slug(F.col("number"), F.col("title"), F.col("sec_ix"))
-    named = sections.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", name).orderBy("sec_ix")))
-    named = named.withColumn("path", F.concat(F.lit("/"), name, F.when(F.col("__n") > 1, F.concat(F.lit("-"), F.col("__n"))).otherwise(""), F.lit(".md")))
-    text = document(blocks.withColumn("sec_ix", F.coalesce("sec_ix", F.lit(-1))), ["doc_id", "sec_ix"])
-    files = named.join(text, ["doc_id", "sec_ix"], "left").select("doc_id", "path", F.concat(frontmatter({"title": F.col("title"), "number": F.col("number")}, {}), F.coalesce("markdown", F.lit(""))).alias("content"))
-    front = text.where("sec_ix = -1").select("doc_id", F.lit("/front-matter.md").alias("path"), F.col("markdown").alias("content"))
-    entry = F.concat(F.lit("- ["), S.link_label(F.col("title")), F.lit("]("), F.col("path"), F.lit(")"))
-    index = named.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_ix", entry.alias("e")))), lambda x: x["e"]), "\n").alias("content"))
-    return files.unionByName(front).unionByName(index.select("doc_id", F.lit("/index.md").alias("path"), "content"))
-
-
 def write_files(files: DataFrame, root: str) -> None:
     """Each row becomes a file below root, written by the executors. A path that occurs twice is an error."""
     twice = files.groupBy("doc_id", "path").count().where("count > 1").take(1)

@@ -18,6 +18,21 @@ def extraction_metrics(docs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("space_pct", F.round(100.0 * (F.col("chars") - F.col("solid")) / F.greatest(F.col("chars"), F.lit(1)), 4))
 
 
+LONG_WORD = 25
+
+
+def word_quality(docs: DataFrame, keys: list[str], samples: int = 3) -> DataFrame:
+    """Words that are mostly letters and digits: how many are long, the longest, and the longest few (by bytes, then by text) of each group."""
+    words = docs.select(*keys, F.explode_outer(F.filter(F.split("text", rf"{S.WS}+"), lambda x: x != "")).alias("w"))
+    solid = F.length(F.regexp_replace("w", r"[^\p{L}\p{Nd}]", ""))
+    like = solid * 2 > F.length("w")
+    long = like & (F.length("w") > LONG_WORD)
+    few = F.slice(F.array_sort(F.collect_set(F.when(long, F.struct((-F.octet_length("w")).alias("n"), "w")))), 1, samples)
+    return words.groupBy(*keys).agg(
+        F.count("w").alias("words"), F.count_if(long).alias("long_words"), F.coalesce(F.max(F.when(like, F.length("w"))), F.lit(0)).alias("longest"), F.array_join(F.transform(few, lambda x: x["w"]), " ").alias("samples")
+    )
+
+
 def page_coverage(blocks: DataFrame) -> DataFrame:
     """The share of a page that the bounding box of its blocks has; blocks without an area don't count."""
     from quirefold.functions import geometry as G
@@ -39,4 +54,5 @@ def probe_route(encrypted: Column, headings: Column, paragraphs: Column, fonts:
 def image_report(images: DataFrame, least: int = 0) -> DataFrame:
     """Counts by codec; an image is skipped only where both sides are small."""
     kept = images.where(~((F.col("width") < least) & (F.col("height") < least)))
-    return kept.groupBy("codec").agg(F.count("*").alias("n"), F.count(F.when(F.col("alpha"), 1)).alias("with_alpha"), F.count(F.when(F.col("codec").isin("jbig2", "jpx"), 1)).alias("unsupported"))
+    optional = [F.count_if(F.col(c)).alias(n) for c, n in (("premultiplied", "premultiplied"), ("blended", "blended")) if c in images.columns]
+    return kept.groupBy("codec").agg(F.count("*").alias("n"), F.count(F.when(F.col("alpha"), 1)).alias("with_alpha"), F.count(F.when(S.image_extension(F.col("codec")).isNull(), 1)).alias("unsupported"), *optional)

@@ -62,10 +62,23 @@ def top_roles(elems: DataFrame, n: int = 6) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
 
+MAX_ROLES = 10_000
+
+
 def normalise_roles(elems: DataFrame, role_map: DataFrame, hops: int = 8) -> DataFrame:
-    """Follows the map (source, target) up to eight steps; stops where a role isn't mapped. The map is the tag set's, a few rows."""
-    out = elems.withColumn("final", F.col("role"))
-    for _ in range(hops):
-        step = role_map.select(F.col("source").alias("__s"), F.col("target").alias("__t"))
-        out = out.join(F.broadcast(step), F.col("final") == F.col("__s"), "left").withColumn("final", F.coalesce("__t", "final")).drop("__s", "__t")
-    return out
+    """final: where a role leads in up to eight steps of the map (source, target). The map is that of a tag set; more than MAX_ROLES rows are an error.
+
+    The map is followed to its end first, so that elements meet it once.
+    """
+    rows = role_map.select("source", "target").limit(MAX_ROLES + 1).collect()
+    if len(rows) > MAX_ROLES:
+        raise ValueError("a map of roles with too many rows")
+    step = {r["source"]: r["target"] for r in rows}
+
+    def end(role: str) -> str:
+        for _ in range(hops):
+            role = step.get(role, role)
+        return role
+
+    ends = elems.sparkSession.createDataFrame([(k, end(k)) for k in step], "__role string, __final string")
+    return elems.join(F.broadcast(ends), F.col("role") == F.col("__role"), "left").withColumn("final", F.coalesce("__final", "role")).drop("__role", "__final")

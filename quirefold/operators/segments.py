@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quirefold.document import words
 from quirefold.functions import scalars as S
+from quirefold.sources.pdf.page import Policy, Shape
 
-SPACE, LINE, PARA, SIZE_BREAK, LIST_STEP, EDGE, MAX_LEVEL, MAX_HEADING = 0.40, 0.5, 1.5, 1.06, 0.5, 0.5, 6, 80
+SPACE, LINE, PARA, SIZE_BREAK, LIST_STEP, EDGE, MAX_LEVEL, MAX_HEADING = 0.40, 0.5, 1.5, 1.06, 1.0, 0.5, 6, 80
 
 
 def islands(df: DataFrame, new: Column, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -42,14 +43,9 @@ def block_segments(lines: DataFrame) -> DataFrame:
 
 
 def join_lines(lines: DataFrame, keys: list[str], order: str, text: str = "line") -> DataFrame:
-    """The lines of a block as one text: a space between two lines unless one side has it, both are CJK, or a dash ends the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag(text).over(w)
-    last, first = F.right(before, F.lit(1)), F.left(F.col(text), F.lit(1))
-    dash = S.is_dash(last) & F.substring(before, -2, 1).rlike(r"^[\p{L}\p{N}]$") & (F.length(before) > 1)
-    glue = before.isNull() | (before == "") | (F.col(text) == "") | last.rlike(S.WS) | first.rlike(S.WS) | (S.spaceless(last) & S.spaceless(first)) | dash
-    piece = lines.withColumn("__piece", F.concat(F.when(glue, "").otherwise(" "), F.col(text)))
-    return piece.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "__piece"))), lambda x: x["__piece"]), "").alias("text"))
+    """The lines of a block, each in a row, as one text. Where a text is one row to begin with, scalars.joined_lines does it without a shuffle."""
+    grouped = lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("__lines"))
+    return grouped.select(*keys, S.joined_lines(F.col("__lines")).alias("text"))
 
 
 def list_runs(blocks: DataFrame) -> DataFrame:
@@ -66,17 +62,27 @@ def list_runs(blocks: DataFrame) -> DataFrame:
 
 
 def ordered_runs(blocks: DataFrame, least: int = 2) -> DataFrame:
-    """Runs of labels that count up by one in one form at one left edge."""
+    """Runs of labels that count up by one in one form at one left edge, that of the run's first item; an item at another edge begins a run.
+
+    Chains that count up are islands. A chain has fewer rows than labels have values (999), and within it the edge is a fold of its array.
+    """
     w = Window.partitionBy("doc_id", "page").orderBy("block_ix")
     b = blocks.withColumn("label", S.ordered_label(F.col("text"))).withColumn("value", S.label_value(F.col("label"))).withColumn("form", S.label_form(F.col("label")))
     on = (F.lag("value").over(w) + 1 == F.col("value")) & (F.lag("form").over(w) == F.col("form"))
-    runs = islands(b.withColumn("__on", F.coalesce(on, F.lit(False))), ~F.col("__on"), ["doc_id", "page"], ["block_ix"], "run").where("label IS NOT NULL")
-    r = Window.partitionBy("doc_id", "page", "run").orderBy("block_ix")
-    first = runs.withColumn("__off", F.abs(F.col("x0") - F.first("x0").over(r)) >= EDGE)
-    # an edge that leaves the first one's ends the run there; what follows would need a new start and isn't kept
-    kept = first.withColumn("__bad", F.max(F.col("__off").cast("int")).over(r)).where("__bad = 0")
-    n = F.count("*").over(Window.partitionBy("doc_id", "page", "run"))
-    return kept.withColumn("n", n).where(F.col("n") >= least).select("doc_id", "page", "block_ix", "label", "value", F.col("n").cast("int").alias("run_length"))
+    chains = islands(b.withColumn("__on", F.coalesce(on, F.lit(False))), ~F.col("__on"), ["doc_id", "page"], ["block_ix"], "chain").where("label IS NOT NULL")
+    rows = chains.groupBy("doc_id", "page", "chain").agg(F.array_sort(F.collect_list(F.struct("block_ix", "x0", "label", "value"))).alias("rows"))
+    begin = F.struct(F.lit(None).cast("double").alias("edge"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = acc["edge"].isNull() | (F.abs(x["x0"] - acc["edge"]) >= EDGE)
+        run = acc["run"] + F.when(new, 1).otherwise(0)
+        return F.struct(F.when(new, x["x0"]).otherwise(acc["edge"]).alias("edge"), run.alias("run"), F.concat(acc["runs"], F.array(run)).alias("runs"))
+
+    runs = rows.select("doc_id", "page", "rows", F.aggregate("rows", begin, step, lambda acc: acc["runs"]).alias("runs"))
+    each = runs.select("doc_id", "page", "runs", F.posexplode("rows").alias("i", "r"))
+    length = F.size(F.filter("runs", lambda k: k == F.get(F.col("runs"), F.col("i"))))
+    out = each.select("doc_id", "page", "r.block_ix", "r.label", "r.value", length.alias("run_length"))
+    return out.where(F.col("run_length") >= least)
 
 
 def body_cluster(spans: DataFrame) -> DataFrame:
@@ -125,87 +131,28 @@ def indent_breaks(lines: DataFrame) -> DataFrame:
     """Paragraph starts by indentation, page by page; columns doc_id, page, line_ix, x0, space."""
 
     def starts(page: list[dict]) -> list[tuple]:
-        out, first, margin = [], None, []
+        out, shape = [], None
         for r in page:
-            x, space, new = r["x0"], r["space"], first is None
-            if not new and margin:
-                low = min(margin)
-                new = max(margin) - low <= 0.5 * space and space <= x - low <= 6 * space and abs(x - first) <= 0.5 * space
+            new = shape is None or shape.begins_another(r["x0"], Policy())
             if new:
-                first, margin = x, []
+                shape = Shape(r["x0"], r["space"])
             else:
-                margin.append(x)
+                shape.observe(r["x0"])
             out.append((r["line_ix"], new))
         return out
 
     return fold(lines, ["doc_id", "page"], ["line_ix", "x0", "space"], starts, "doc_id long, page int, line_ix int, starts boolean")
 
 
-def unique_names(rows: DataFrame) -> DataFrame:
-    """Names made distinct within a parent by -2, -3, ... in order, stepping over names that are taken."""
-
-    def names(group: list[dict]) -> list[tuple]:
-        taken: set[str] = set()
-        out = []
-        for r in group:
-            k, new = 1, r["name"]
-            while new in taken:
-                k += 1
-                new = f"{r['name']}-{k}"
-            taken.add(new)
-            out.append((r["ix"], new))
-        return out
-
-    return fold(rows, ["parent"], ["ix", "name"], names, "parent long, ix long, name string")
-
-
-def _columns(cells: list[dict]) -> list[float]:
-    """Right ends of the columns that the cells' extents merge into."""
-    cols: list[float] = []
-    for c in sorted(cells, key=lambda c: c["x0"]):
-        if cols and c["x0"] < cols[-1]:
-            cols[-1] = max(cols[-1], c["x1"])
-        else:
-            cols.append(c["x1"])
-    return cols
-
-
-def table_grids(cells: DataFrame, max_rows: int = 512, max_cells: int = 4096) -> DataFrame:
-    """Tables of a page: bands of cells at one height, two cells or more that rules part, of which two or more in a row agree in columns.
+def unique_names(rows: DataFrame, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """Names made distinct within a parent by -2, -3, ... in order, stepping over names that are taken or reserved.
 
-    cells: doc_id, page, cell_ix, x0, y0, x1, y1, ruled (a vertical rule stands before it).
+    Names that differ but in such endings can clash, others can't: they are folded by what is left without the endings.
     """
 
-    def tables(page: list[dict]) -> list[tuple]:
-        rows: list[list[dict]] = []
-        low = high = None
-        for c in sorted(page, key=lambda c: (-c["y1"], c["x0"], c["cell_ix"])):
-            if low is not None and c["y0"] < high and c["y1"] > low:
-                rows[-1].append(c)
-                low, high = max(low, c["y0"]), min(high, c["y1"])
-            else:
-                rows.append([c])
-                low, high = c["y0"], c["y1"]
-        out: list[tuple] = []
-        group: list[list[dict]] = []
-        table = 0
-        for r in [*rows, []]:
-            r.sort(key=lambda c: c["x0"])
-            fits = len(r) >= 2 and all(c["ruled"] for c in r[1:])
-            trial = [*group, r]
-            if fits and group:
-                cols = _columns([c for x in trial for c in x])
-                fits_group = len(trial) <= max_rows and sum(map(len, trial)) <= max_cells and all(len({bisect_right(cols, c["x0"]) for c in x}) == len(x) for x in trial)
-            else:
-                fits_group = fits
-            if fits and fits_group:
-                group = trial
-                continue
-            if len(group) >= 2:
-                cols = _columns([c for x in group for c in x])
-                out += [(c["cell_ix"], table, i, bisect_right(cols, c["x0"]), i == 0) for i, x in enumerate(group) for c in x]
-                table += 1
-            group = [r] if fits and len({bisect_right(_columns(r), c["x0"]) for c in r}) == len(r) else []
-        return out
+    def names(group: list[dict]) -> list[tuple]:
+        taken = set(reserved)
+        return [(r["ix"], words.unique(taken, r["name"])) for r in group]
 
-    return fold(cells, ["doc_id", "page"], ["cell_ix", "x0", "y0", "x1", "y1", "ruled"], tables, "doc_id long, page int, cell_ix int, tbl int, row int, col int, header boolean")
+    rooted = rows.withColumn("root", F.regexp_replace("name", "(?:-[0-9]+)+$", ""))
+    return fold(rooted, ["parent", "root"], ["ix", "name"], names, "parent long, root string, ix long, name string").drop("root")

@@ -11,7 +11,7 @@ from quirefold.functions import codecs
 from quirefold.functions import geometry as G
 from quirefold.functions import scalars as S
 from quirefold.operators import joins, markdown, metrics, outline, segments
-from quirefold.plans import files
+from quirefold.plans import files, texts
 from quirefold.plans.derived import derive, with_sql
 from quirefold.sources import markup
 
@@ -88,16 +88,23 @@ def ordered_label(spark, sf):
     return derive(spark, sf, "numbered").select("doc_id", "block_ix", label.alias("label"), S.label_value(label).cast("int").alias("value"), S.label_form(label).alias("form"))
 
 
-@query(
-    with_sql("numbered", query=f"""SELECT doc_id, page, block_ix, label, value, CAST(count(*) OVER (PARTITION BY doc_id, run) AS INT) AS run_length FROM (SELECT *, max(CASE WHEN abs(x0 - fx) >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY block_ix) AS bad FROM (
-    SELECT *, first_value(x0) OVER (PARTITION BY doc_id, run ORDER BY block_ix) AS fx FROM (SELECT *, sum(CASE WHEN lv + 1 = value AND lf = form THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_ix) AS run FROM (
-    SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY block_ix) AS lv, lag(form) OVER (PARTITION BY doc_id ORDER BY block_ix) AS lf FROM (SELECT *, CAST({_VALUE} AS INT) AS value, {_FORM} AS form FROM (SELECT *, {_LABEL} AS label FROM numbered)))) WHERE label IS NOT NULL)) WHERE bad = 0 QUALIFY count(*) OVER (PARTITION BY doc_id, run) >= 2""")
-)
+_CHAINS = f"""lab AS (SELECT *, CAST({_VALUE} AS INT) AS value, {_FORM} AS form FROM (SELECT *, {_LABEL} AS label FROM numbered)),
+    seq AS (SELECT *, value IS NOT NULL AND lag(value) OVER w + 1 = value AND lag(form) OVER w = form AS follows FROM lab WINDOW w AS (PARTITION BY doc_id, page ORDER BY block_ix)),
+    walk AS (SELECT doc_id, page, block_ix, x0, label, value, x0 AS edge, block_ix AS head FROM seq WHERE label IS NOT NULL AND NOT coalesce(follows, false)
+    UNION ALL SELECT s.doc_id, s.page, s.block_ix, s.x0, s.label, s.value, CASE WHEN abs(s.x0 - w.edge) < 0.5 THEN w.edge ELSE s.x0 END, CASE WHEN abs(s.x0 - w.edge) < 0.5 THEN w.head ELSE s.block_ix END FROM walk w JOIN seq s ON s.doc_id = w.doc_id AND s.page = w.page AND s.block_ix = w.block_ix + 1 WHERE s.follows)"""
+
+
+@query(with_sql("numbered", query="SELECT doc_id, page, block_ix, label, value, CAST(count(*) OVER (PARTITION BY doc_id, page, head) AS INT) AS run_length FROM walk QUALIFY count(*) OVER (PARTITION BY doc_id, page, head) >= 2").replace("WITH numbered", "WITH RECURSIVE numbered").replace(" SELECT doc_id, page, block_ix, label, value, CAST(count", f", {_CHAINS} SELECT doc_id, page, block_ix, label, value, CAST(count"))
 def ordered_runs(spark, sf):
     return segments.ordered_runs(derive(spark, sf, "numbered")).withColumn("value", F.col("value").cast("int"))
 
 
-@query()
+@query(
+    with_sql("items", query=f"""SELECT i.doc_id, i.page, i.block_ix, i.marker, CAST(i.run AS INT) AS run, CAST(least(6, greatest(1, len(list_filter(tiers, lambda t: t <= i.x0)))) AS INT) AS level FROM runs i JOIN (SELECT doc_id, page, run,
+    list_reduce(list_transform(list_sort(list_distinct(list(x0))), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 10 THEN list_concat(a, x) ELSE a END) AS tiers FROM runs GROUP BY 1, 2, 3) USING (doc_id, page, run)""").replace(
+        " SELECT i.doc_id", f""", m AS (SELECT *, {_MARK} AS marker FROM items), s AS (SELECT *, marker IS NOT NULL AND lag(marker) OVER (PARTITION BY doc_id, page ORDER BY block_ix) IS NULL AS fresh FROM m),
+    runs AS (SELECT * FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, page ORDER BY block_ix) AS run FROM s) WHERE marker IS NOT NULL) SELECT i.doc_id""")
+)
 def list_runs(spark, sf):
     return segments.list_runs(derive(spark, sf, "items"))
 
@@ -134,12 +141,11 @@ def space_inference(spark, sf):
 
 
 @query(
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM l)
-    SELECT doc_id, string_agg(CASE WHEN before IS NULL OR before = '' OR line = '' OR right(before, 1) = ' ' OR left(line, 1) = ' ' OR regexp_matches(before, '[\\p{L}\\p{N}][\\p{Pd}]$') THEN line ELSE ' ' || line END, '' ORDER BY no) AS text FROM p GROUP BY doc_id"""
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM l)
+    SELECT doc_id, string_agg(CASE WHEN before IS NULL OR before = '' OR line = '' OR regexp_matches(before, '\s$') OR regexp_matches(line, '^\s') OR regexp_matches(before, '[\p{L}\p{Nd}][\p{Pd}\x{AD}\x{2212}]+$') THEN line ELSE ' ' || line END, '' ORDER BY no) AS text FROM p GROUP BY doc_id"""
 )
 def line_join(spark, sf):
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
-    return segments.join_lines(lines, ["doc_id"], "line_ix")
+    return read(spark, sf, "documents").select("doc_id", S.joined_lines(F.split("text", "\n")).alias("text"))
 
 
 @query(
@@ -186,8 +192,7 @@ def mcid_join(spark, sf):
 
 @query(with_sql("refs", "spans", query=f"SELECT doc_id, span_id, text FROM spans s ANTI JOIN ({_CLAIMED}) c ON s.doc_id = c.doc_id AND s.span_id = c.span_id"))
 def unplaced_text(spark, sf):
-    spans = derive(spark, sf, "spans")
-    return joins.unplaced(spans, joins.mcid_join(derive(spark, sf, "refs"), spans)).select("doc_id", "span_id", "text")
+    return joins.unplaced(derive(spark, sf, "spans"), derive(spark, sf, "refs")).select("doc_id", "span_id", "text")
 
 
 @query(with_sql("boxes", "rules", query="SELECT doc_id, page, cell_ix FROM boxes b WHERE EXISTS (SELECT 1 FROM rules r WHERE r.vertical AND r.doc_id = b.doc_id AND r.page = b.page AND r.pos > b.x0 AND r.pos < b.x1 AND r.lo <= b.y1 AND r.hi >= b.y0)"))
@@ -283,7 +288,7 @@ def role_normalised(spark, sf):
     return outline.normalise_roles(_elems(spark, sf), spark.createDataFrame(_MAP, "source string, target string")).groupBy("final").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_replace(html, '{_RAW}', '', 'g'), '(?s)<(?:h[1-6]|title)>.*?</')) AS t, generate_subscripts(regexp_extract_all(regexp_replace(html, '{_RAW}', '', 'g'), '(?s)<(?:h[1-6]|title)>.*?</'), 1) AS n FROM pages) SELECT doc_id, CAST(n - 1 AS INT) AS sec_ix, CASE WHEN starts_with(t, '<title') THEN 1 ELSE CAST(t[3] AS INT) + 1 END AS level, regexp_extract(t, '(?s)>(.*)</$', 1) AS title FROM h")
+@query(rf"WITH h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_replace(html, '{_RAW}', '', 'g'), '(?is)<(?:h[1-6]|title)(?:\s[^>]*)?>.*?</')) AS t, generate_subscripts(regexp_extract_all(regexp_replace(html, '{_RAW}', '', 'g'), '(?is)<(?:h[1-6]|title)(?:\s[^>]*)?>.*?</'), 1) AS n FROM pages) SELECT doc_id, CAST(n - 1 AS INT) AS sec_ix, CASE WHEN starts_with(lower(t), '<title') THEN 1 ELSE CAST(t[3] AS INT) + 1 END AS level, regexp_extract(t, '(?s)^<[^>]*>(.*)</$', 1) AS title FROM h")
 def outline_from_html(spark, sf):
     return markup.html_headings(read(spark, sf, "pages"))
 
@@ -314,9 +319,16 @@ def iso_date(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", S.iso_date(raw).alias("day"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '^(.*?[^\s.!?]{2}[.!?])(?:\s|$)', 1), '') AS sentence FROM documents")
+_INITIAL = r"regexp_replace({0}, '(\s[A-Za-z])\.(\s)', '\1' || chr(1) || '\2', 'g')"
+_SENTENCE = rf"""WITH c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[\n\r\t ]') THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE text END AS t FROM documents),
+    m AS (SELECT doc_id, t, replace(regexp_extract({_INITIAL.format(_INITIAL.format("t"))}, '(?s)^(.*?[.!?])\s', 1), chr(1), '.') AS f FROM c),
+    k AS (SELECT *, left(t, CAST(list_max(list_filter(range(0, 298), lambda i: octet_length(encode(left(t, i))) <= 297)) AS BIGINT)) AS cut FROM m), b AS (SELECT *, regexp_extract(cut, '(?s)^(.*)\s', 1) AS back FROM k)
+    SELECT doc_id, CASE WHEN f <> '' AND octet_length(encode(f)) <= 300 THEN f WHEN octet_length(encode(t)) <= 300 THEN t ELSE concat(regexp_replace(CASE WHEN octet_length(encode(back)) > 150 THEN back ELSE cut END, '[\s,;:]+$', ''), '…') END AS sentence FROM b"""
+
+
+@query(_SENTENCE)
 def first_sentence(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", S.first_sentence(F.col("text")).alias("sentence"))
+    return read(spark, sf, "documents").select("doc_id", S.first_sentence(S.collapse(F.col("text"))).alias("sentence"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '([\\`*|])', '\\\1', 'g') AS escaped, regexp_replace(regexp_replace(text, chr(173), '', 'g'), '\r\n|\r|\n', ' ', 'g') AS inline FROM documents")
@@ -336,7 +348,7 @@ def frontmatter(spark, sf):
     return read(spark, sf, "documents").select("doc_id", markdown.frontmatter({"title": F.col("source"), "author": F.lit(""), "lang": F.col("lang")}, {"tagged": F.col("doc_id") % 2 == 0, "encrypted": F.lit(False)}).alias("front"))
 
 
-@query(with_sql("images", query="SELECT codec, count(*) AS n, count(*) FILTER (WHERE alpha) AS with_alpha, count(*) FILTER (WHERE codec IN ('jbig2', 'jpx')) AS unsupported FROM images WHERE NOT (width < 10 AND height < 10) GROUP BY codec"))
+@query(with_sql("images", query="SELECT codec, count(*) AS n, count(*) FILTER (WHERE alpha) AS with_alpha, count(*) FILTER (WHERE codec NOT IN ('jpeg', 'raw')) AS unsupported FROM images WHERE NOT (width < 10 AND height < 10) GROUP BY codec"))
 def image_report(spark, sf):
     return metrics.image_report(derive(spark, sf, "images"), 10)
 
@@ -356,33 +368,30 @@ def markdown_doc(spark, sf):
 
 
 @query(
-    with_sql("cells", query="""SELECT doc_id, tbl, concat(CASE WHEN header THEN '' ELSE '|  |  |' || chr(10) || '| --- | --- |' || chr(10) END, string_agg(line || CASE WHEN r = 0 AND header THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY r)) AS markdown FROM (
-    SELECT doc_id, tbl, header, cell_ix // 2 AS r, concat('| ', max(a) FILTER (WHERE cell_ix % 2 = 0), ' | ', coalesce(max(a) FILTER (WHERE cell_ix % 2 = 1), ''), ' |') AS line FROM cells WHERE doc_id IN (SELECT doc_id FROM cells GROUP BY doc_id HAVING count(*) > 1) GROUP BY ALL) GROUP BY doc_id, tbl, header""")
+    with_sql("cells", query="""SELECT doc_id, tbl, concat(CASE WHEN header THEN '' ELSE concat(blank, chr(10), rule, chr(10)) END, string_agg(concat('| ', line, ' |', CASE WHEN r = 0 AND header THEN chr(10) || rule ELSE '' END), chr(10) ORDER BY r)) AS markdown FROM (
+    SELECT doc_id, tbl, header, cell_ix // 2 AS r, CASE WHEN n > 1 THEN '|  |  |' ELSE '|  |' END AS blank, CASE WHEN n > 1 THEN '| --- | --- |' ELSE '| --- |' END AS rule,
+    concat(max(a) FILTER (WHERE cell_ix % 2 = 0), CASE WHEN n > 1 THEN concat(' | ', coalesce(max(a) FILTER (WHERE cell_ix % 2 = 1), '')) ELSE '' END) AS line FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tbl) AS n FROM cells) GROUP BY doc_id, tbl, header, n, cell_ix // 2) GROUP BY doc_id, tbl, header, blank, rule""")
 )
 def pipe_tables(spark, sf):
-    c = derive(spark, sf, "cells")
-    many = c.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return markdown.pipe_tables(c.join(many, "doc_id", "left_semi").selectExpr("doc_id", "tbl", "cell_ix DIV 2 AS row", "CAST(cell_ix % 2 AS BIGINT) AS col", "a AS text", "header"))
-
+    return markdown.pipe_tables(derive(spark, sf, "cells").selectExpr("doc_id", "tbl", "cell_ix DIV 2 AS row", "CAST(cell_ix % 2 AS BIGINT) AS col", "a AS text", "header"))
 
-@query()
-def okf_bundle(spark, sf):
-    blocks = outline.assign_sections(derive(spark, sf, "placed"))
-    return markdown.bundle(derive(spark, sf, "sections"), blocks)
 
+_INDENTS = """, ln AS (SELECT doc_id, page, block_ix AS line_ix, x0 FROM numbered), walk AS (SELECT doc_id, page, line_ix, true AS starts, x0 AS first, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi FROM ln WHERE line_ix = 1
+    UNION ALL SELECT doc_id, page, line_ix, starts, CASE WHEN starts THEN x0 ELSE first END, CASE WHEN starts THEN NULL ELSE least(x0, coalesce(lo, x0)) END, CASE WHEN starts THEN NULL ELSE greatest(x0, coalesce(hi, x0)) END FROM (
+    SELECT l.doc_id, l.page, l.line_ix, l.x0, w.first, w.lo, w.hi, coalesce(w.hi - w.lo <= 2.5 AND l.x0 - w.lo BETWEEN 5 AND 30 AND abs((l.x0 - w.lo) / 5 - (w.first - w.lo) / 5) <= 0.5, false) AS starts FROM walk w JOIN ln l ON l.doc_id = w.doc_id AND l.page = w.page AND l.line_ix = w.line_ix + 1))"""
 
-@query()
-def table_grids(spark, sf):
-    cells = derive(spark, sf, "boxes").select("doc_id", "page", "cell_ix", "x0", "y0", "x1", "y1", (F.col("cell_ix") % 5 > 0).alias("ruled"))
-    return segments.table_grids(cells)
 
-
-@query()
+@query(with_sql("numbered", query="SELECT doc_id, page, line_ix, starts FROM walk").replace("WITH numbered", "WITH RECURSIVE numbered").replace(" SELECT doc_id, page, line_ix, starts FROM walk", f"{_INDENTS} SELECT doc_id, page, line_ix, starts FROM walk"))
 def indent_breaks(spark, sf):
     return segments.indent_breaks(derive(spark, sf, "numbered").selectExpr("doc_id", "page", "block_ix AS line_ix", "x0", "CAST(5 AS DOUBLE) AS space"))
 
 
-@query()
+_NAMES = """, nm AS (SELECT doc_id AS parent, sec_ix AS ix, concat('t', CAST(level AS VARCHAR), CASE WHEN sec_ix % 4 = 0 THEN '-2' ELSE '' END) AS name FROM sections), walk AS (SELECT parent, ix, name, [name] AS taken FROM nm WHERE ix = 1
+    UNION ALL SELECT parent, ix, new, list_append(taken, new) FROM (SELECT n.parent, n.ix, w.taken, CASE WHEN list_contains(w.taken, n.name) THEN concat(n.name, '-', list_min(list_filter(range(2, len(w.taken) + 3), lambda k: NOT list_contains(w.taken, concat(n.name, '-', k))))) ELSE n.name END AS new
+    FROM walk w JOIN nm n ON n.parent = w.parent AND n.ix = w.ix + 1))"""
+
+
+@query(with_sql("sections", query="SELECT parent, ix, name FROM walk").replace("WITH sections", "WITH RECURSIVE sections").replace(" SELECT parent, ix, name FROM walk", f"{_NAMES} SELECT parent, ix, name FROM walk"))
 def unique_names(spark, sf):
     return segments.unique_names(derive(spark, sf, "sections").selectExpr("doc_id AS parent", "sec_ix AS ix", "concat('t', CAST(level AS STRING), CASE WHEN sec_ix % 4 = 0 THEN '-2' ELSE '' END) AS name"))
 
@@ -402,8 +411,8 @@ def doctags_blocks(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | files.queries()
+    return _QUERIES | files.queries() | texts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | files.oracle_sql()
+    return _SQL | files.oracle_sql() | texts.oracle_sql()

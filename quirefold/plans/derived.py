@@ -18,13 +18,13 @@ DERIVED = {
         concat(CASE l_orderkey % 5 WHEN 0 THEN concat(CAST(l_linenumber AS STRING), '. ') WHEN 1 THEN concat('[', CAST(l_linenumber AS STRING), '] ') WHEN 2 THEN concat(CAST(l_linenumber + l_partkey % 2 AS STRING), ') ') WHEN 3 THEN concat(substring('abcdefgh', l_linenumber, 1), ') ') ELSE '' END, l_linestatus) AS text FROM {lineitem}""",
     "spans": """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS span_id, CAST(l_linenumber % 3 + 1 AS INT) AS page, CAST(CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey % 4 END AS INT) AS mcid,
         CAST(8 + l_partkey % 4 AS DOUBLE) AS size, l_suppkey % 3 = 0 AS bold, concat('span ', CAST(l_partkey AS STRING)) AS text FROM {lineitem}""",
-    "refs": "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, n_nationkey AS elem_id, n_nationkey % 7 AS ord, CAST(n_nationkey % 3 + 1 AS INT) AS page, CAST(n_nationkey % 5 AS INT) AS mcid FROM {orders} CROSS JOIN {nation} WHERE n_nationkey < 9",
+    "refs": "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, n_nationkey AS elem_id, n_nationkey % 7 AS ord, CAST(n_nationkey % 3 + 1 AS INT) AS page, CAST(n_nationkey % 5 AS INT) AS mcid FROM {orders} CROSS JOIN {nation}",
     "lines": """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, 1 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_ix, CAST(l_partkey % 9 = 0 AS INT) AS orient, CAST(800 - l_linenumber * 14 - CASE WHEN l_partkey % 5 = 0 THEN 10 ELSE 0 END AS DOUBLE) AS cross_pos,
         CAST(10 AS DOUBLE) AS height, CAST(10 + CASE WHEN l_suppkey % 4 = 0 THEN 2 ELSE 0 END AS DOUBLE) AS dom_size, CAST(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE NULL END AS INT) AS mcid FROM {lineitem}""",
     "glyphs": """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, 1 AS page, 1 AS line_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS seq, CASE WHEN l_partkey % 6 = 0 THEN 'a ' ELSE 'b' END AS text, CAST(l_linenumber * 10 + l_suppkey % 4 AS DOUBLE) AS x, CAST(8 AS DOUBLE) AS advance, CAST(6 AS DOUBLE) AS space FROM {lineitem}""",
     "boxes": """SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber % 3 + 1 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS cell_ix, CAST(l_partkey % 40 * 10 AS DOUBLE) AS x0, CAST(l_suppkey % 60 * 10 AS DOUBLE) AS y0,
         CAST(l_partkey % 40 * 10 + l_linenumber * 5 AS DOUBLE) AS x1, CAST(l_suppkey % 60 * 10 + CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE 20 END AS DOUBLE) AS y1, CAST(612 * 792 AS DOUBLE) AS page_area FROM {lineitem}""",
-    "rules": "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(n_nationkey % 3 + 1 AS INT) AS page, n_nationkey % 2 = 0 AS vertical, CAST((o_custkey + n_nationkey * 37) % 400 AS DOUBLE) AS pos, CAST(n_nationkey * 20 AS DOUBLE) AS lo, CAST(n_nationkey * 20 + 200 AS DOUBLE) AS hi FROM {orders} CROSS JOIN {nation} WHERE n_nationkey < 6",
+    "rules": "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(n_nationkey % 3 + 1 AS INT) AS page, n_nationkey % 2 = 0 AS vertical, CAST((o_custkey + n_nationkey * 37) % 400 AS DOUBLE) AS pos, CAST(n_nationkey * 20 AS DOUBLE) AS lo, CAST(n_nationkey * 20 + 200 AS DOUBLE) AS hi FROM {orders} CROSS JOIN {nation}",
     "sections": """SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS sec_ix, CAST(o_orderkey % 5 + 1 AS INT) AS level, concat('T', CAST(o_orderkey % 50 AS STRING)) AS title,
         CASE WHEN o_orderkey % 3 = 0 THEN concat(CAST(o_orderkey % 4 + 1 AS STRING), '.', CAST(o_orderkey % 6 + 1 AS STRING)) ELSE NULL END AS number FROM {orders}""",
     "placed": """SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS block_ix, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS page, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE NULL END AS level, CASE o_orderkey % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'list_item' WHEN 2 THEN 'list_item' WHEN 3 THEN 'quote' ELSE 'paragraph' END AS role, o_orderpriority AS text, CAST(NULL AS STRING) AS marker FROM {orders}""",

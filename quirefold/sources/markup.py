@@ -25,9 +25,9 @@ def tag_depth(tags: DataFrame) -> DataFrame:
 
 def html_headings(pages: DataFrame) -> DataFrame:
     bare = pages.select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", RAW, "").alias("h"))
-    found = bare.select("doc_id", F.posexplode(F.regexp_extract_all("h", F.lit(r"(?s)<(h[1-6]|title)>(.*?)</"), F.lit(0))).alias("ix", "t"))
-    level = F.when(F.startswith("t", F.lit("<title")), 1).otherwise(F.substring("t", 3, 1).try_cast("int") + 1)
-    return found.select("doc_id", F.col("ix").alias("sec_ix"), level.cast("int").alias("level"), F.regexp_extract("t", r"(?s)>(.*)</$", 1).alias("title"))
+    found = bare.select("doc_id", F.posexplode(F.regexp_extract_all("h", F.lit(r"(?is)<(?:h[1-6]|title)(?:\s[^>]*)?>.*?</"), F.lit(0))).alias("ix", "t"))
+    level = F.when(F.startswith(F.lower("t"), F.lit("<title")), 1).otherwise(F.substring("t", 3, 1).try_cast("int") + 1)
+    return found.select("doc_id", F.col("ix").alias("sec_ix"), level.cast("int").alias("level"), F.regexp_extract("t", r"(?s)^<[^>]*>(.*)</$", 1).alias("title"))
 
 
 def doctags_blocks(texts: DataFrame) -> DataFrame:

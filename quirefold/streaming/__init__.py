@@ -1 +1 @@
-
+"""Incremental ingestion of files with Structured Streaming."""
