@@ -165,16 +165,6 @@ def probe(files: DataFrame) -> DataFrame:
     return _each(files, rows, PROBE, failed=lambda e: (e, *[None] * (width - 3), "unknown", None))
 
 
-def structure_line(report: dict[str, Any]) -> str:
-    parts = [n for n, k in (("StructTreeRoot", "struct_tree_root"), ("Marked", "mark_info")) if report[k]]
-    return (" + ".join(parts) + ("" if report["tagged"] else " (stub, unusable)")) if parts else "untagged"
-
-
-def streams_line(report: dict[str, Any]) -> str:
-    parts = [n for n, k in (("ObjStm", "object_streams"), ("XRefStm", "xref_streams"), ("linearized", "linearized"), ("hybrid", "hybrid")) if report[k]]
-    return ", ".join(parts) or "plain xref table"
-
-
 def report_text(reports: DataFrame) -> DataFrame:
     """doc_id, text, json: each report for people and for programs."""
     structure = F.array_compact(F.array(F.when(F.col("struct_tree_root"), "StructTreeRoot"), F.when(F.col("mark_info"), "Marked")))
@@ -262,7 +252,7 @@ def glyphs(files: DataFrame, policy: Policy | None = None) -> DataFrame:
     def rows(store: Store, first: int, last: int | None) -> Iterator[tuple]:
         fonts: dict = {}
         for n in _pages(store, first, last):
-            for seq, g in enumerate(read_page(store, n, fonts, policy)[1].placed):
+            for seq, g in enumerate(read_page(store, n, fonts, policy, record=True)[1].placed):
                 yield n, seq, g.text, g.code, g.orient, g.along, g.end, g.cross, g.gap, g.height, g.space, g.style._asdict(), g.mcid, g.artifact
 
     return _each(files, rows, f"page int, seq int, text string, code long, orient int, along double, end double, cross_pos double, gap double, height double, space double, style {STYLE}, mcid int, artifact boolean")

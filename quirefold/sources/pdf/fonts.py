@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import re
+from functools import lru_cache
 from typing import Any, NamedTuple
 
 from quirefold.sources.pdf import cmaps
@@ -52,6 +54,18 @@ def cid_widths(store: Store, rows: list) -> dict[int, float]:
     return out
 
 
+def _tables(texts: list[str], widths: list[float]) -> tuple[str, list[float]]:
+    """A character for each code (U+FFFE, which codecs takes for undefined, where a code has no single one), and the widths."""
+    return "".join(t if len(t) == 1 and w >= 0 else "\ufffe" for t, w in zip(texts, widths, strict=True)), widths
+
+
+@lru_cache(512)
+def _standard_tables(base_font: str, names: tuple[str, ...], default: float) -> tuple[str, list[float]]:
+    """The tables of a font that has neither widths nor a CMap of its own: many files have the same."""
+    widths = [standard_width(base_font, n) for n in names]
+    return _tables([glyph_text(n) or "" for n in names], [default if w is None else float(w) for w in widths])
+
+
 class Font:
     def __init__(self, store: Store, info: dict):
         self.store = store
@@ -69,6 +83,7 @@ class Font:
             except ValueError:
                 pass
         self._glyphs: dict[int, Glyph] = {}
+        self._table: str | None = None
         (self._composite if self.composite else self._simple)(info)
         self.space_width = self._space()
 
@@ -153,6 +168,24 @@ class Font:
             out.append(self._glyphs[key])
         return out
 
+    def run(self, data: bytes) -> tuple[str, float, float, int, int] | None:
+        """The text of a string, the sum of its widths, the last width, its single-byte spaces and its glyphs; None where one has no text or a negative width."""
+        if self.composite:
+            glyphs = self.decode(data)
+            if not all(g.text and g.width >= 0 for g in glyphs):
+                return None
+            return "".join([g.text for g in glyphs]), sum(g.width for g in glyphs), glyphs[-1].width, sum(g.size == 1 and g.code == 32 for g in glyphs), len(glyphs)
+        if self._table is None:
+            if self.to_unicode or self.widths:
+                self._table, self._advances = _tables([self._text(c) for c in range(256)], [self._width(c, c) for c in range(256)])
+            else:
+                self._table, self._advances = _standard_tables(self.base_font if self.subtype != "Type3" else "", tuple(self.names), self.default)
+        try:
+            text = codecs.charmap_decode(data, "strict", self._table)[0]
+        except UnicodeDecodeError:
+            return None
+        return text, sum(map(self._advances.__getitem__, data)), self._advances[data[-1]], data.count(32), len(data)
+
     def _space(self) -> float:
         if self.composite:
             code = self.to_unicode.code_for(" ") if self.to_unicode else None

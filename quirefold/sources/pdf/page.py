@@ -212,8 +212,9 @@ def spaced(text: str) -> tuple[bool, bool]:
 class Walk:
     """The fold over a page's operators."""
 
-    def __init__(self, store: Store, fonts: dict | None = None, policy: Policy | None = None):
-        self.store, self.policy = store, policy or Policy()
+    def __init__(self, store: Store, fonts: dict | None = None, policy: Policy | None = None, record: bool = False):
+        """record: keeps each glyph as placed; else the glyphs of a string that follow each other without a gap are placed as one."""
+        self.store, self.policy, self.record = store, policy or Policy(), record
         self.fonts = {} if fonts is None else fonts
         self.placed: list[Placed] = []
         self.rules: list[Rule] = []
@@ -281,35 +282,51 @@ class Walk:
         t, wide = m.text, m.text.scale / 100
         shown = m.visible() or self.policy.keep_hidden
         artifact, mcid = m.artifact(), m.mcid()
+        if not self.record and not font.vertical and t.size > 0 and t.scale > 0 and t.char_space >= 0 and t.word_space >= 0 and (run := font.run(data)):
+            # behind each glyph the pen is where the next one begins, so nothing inside of the string is a gap
+            text, units, last, spaces, n = run
+            shift = (units / 1000 * t.size + n * t.char_space + spaces * t.word_space) * wide
+            if shown:
+                self._place(m, font, text, 0, artifact, mcid, shift - (t.char_space + (t.word_space if data[-1:] == b" " and not font.composite else 0.0)) * wide)
+            self._advance(m, shift, shown)
+            return
         for g in font.decode(data):
             word = t.word_space if g.size == 1 and g.code == 32 else 0.0
             shift = (g.width / 1000 * t.size + t.char_space + word) * wide
             if shown and g.text:
-                self._place(m, font, g, artifact, mcid)
+                self._place(m, font, g.text, g.code, artifact, mcid, g.width / 1000 * t.size * wide)
             if font.vertical:
                 m.advance(0, -shift)
-                continue
-            if shown and self.pen is not None:
-                at = multiply(m.tm, m.ctm)
-                self.pen += shift * math.hypot(at[0], at[1])
-            m.advance(shift)
-
-    def _place(self, m: Machine, font: Font, g: Any, artifact: bool, mcid: int | None) -> None:
+            else:
+                self._advance(m, shift, shown)
+
+    def _advance(self, m: Machine, shift: float, shown: bool) -> None:
+        if shown and self.pen is not None:
+            at = multiply(m.tm, m.ctm)
+            self.pen += shift * math.hypot(at[0], at[1])
+        m.advance(shift)
+
+    def _place(self, m: Machine, font: Font, text: str, code: int, artifact: bool, mcid: int | None, width: float) -> None:
+        """width: from the start to the end of the last glyph, in text space."""
+        t = m.text
         a, b, c, d, x, y = m.render()
         sx, sy = math.hypot(a, b), math.hypot(c, d)
         dx, dy = (a / sx, b / sx) if sx else (1.0, 0.0)
-        orient = _nearest(math.atan2(dy, dx) / STEP) if sx else 0
+        orient = (_nearest(math.atan2(dy, dx) / STEP) if dy or dx < 0 else 0) if sx else 0
         along, cross = (x * dx + y * dy, -x * dy + y * dx) if sx else (x, y)
         style = Style(font.name, sy, font.bold, font.italic, font.mono, not m.visible())
         space = font.space_width / 1000 * sx
-        self.put(g.text, g.code, orient, along, along + g.width / 1000 * sx, cross, sy, space if space > 0 else 0.5 * sx, style, mcid, artifact)
+        unit = t.size * t.scale / 100
+        end = along + (width / unit * sx if unit else 0.0)
+        self.put(text, code, orient, along, end, cross, sy, space if space > 0 else 0.5 * sx, style, mcid, artifact)
 
     def put(self, text: str, code: int, orient: int, along: float, end: float, cross: float, height: float, space: float, style: Style, mcid: int | None, artifact: bool) -> None:
         """Adds a glyph to the open line, or begins one; a wide gap is a space, and a place where a rule may cut."""
         p, line = self.policy, self.open
         last = line.fragments[-1] if line else None
         gap = None if self.pen is None else along - self.pen
-        self.placed.append(Placed(text, code, orient, along, end, cross, gap, height, space, style, mcid, artifact))
+        if self.record:
+            self.placed.append(Placed(text, code, orient, along, end, cross, gap, height, space, style, mcid, artifact))
         if line is None or line.orient != orient or abs(cross - line.cross) > p.line * max(height, last.height):
             self.close_line()
             self.open = Line(cross, orient, [Fragment(text, along, end, cross, orient, height, space, style, mcid, artifact)])
@@ -498,14 +515,14 @@ def blocks(lines: list[Line], rules: list[Rule], policy: Policy | None = None) -
     return [b for b in out if b.text.strip()]
 
 
-def read_page(store: Store, number: int, fonts: dict | None = None, policy: Policy | None = None) -> tuple[Page, Walk]:
+def read_page(store: Store, number: int, fonts: dict | None = None, policy: Policy | None = None, record: bool = False) -> tuple[Page, Walk]:
     """A page by its number from 1, and the walk over its content; a page that can't be read is empty."""
     info = store.pages[number - 1]
-    page, walk = Page(number, store.page_box(info), store.int(info, "Rotate") or 0), Walk(store, fonts, policy)
+    page, walk = Page(number, store.page_box(info), store.int(info, "Rotate") or 0), Walk(store, fonts, policy, record)
     try:
         walk.run(store.content(info), store.dict(info, "Resources"))
     except (ValueError, RecursionError):
-        walk = Walk(store, fonts, policy)
+        walk = Walk(store, fonts, policy, record)
     page.blocks, page.rules = blocks(walk.lines, walk.rules, policy), walk.rules
     for s in (s for b in page.blocks for s in b.spans):
         s.page = number

@@ -31,7 +31,7 @@ def test_sources_and_odd_files(spark, folder):
     assert set(reports) == {"a.pdf", "b.pdf", "c.pdf"} and reports["c.pdf"]["error"] and reports["c.pdf"]["path"] == "unknown"
     assert (reports["a.pdf"]["path"], reports["a.pdf"]["pages"], reports["b.pdf"]["path"], reports["b.pdf"]["mark_info"]) == ("layout", 3, "tagged", True)
     text = {names[r["doc_id"]]: r for r in P.report_text(P.probe(found)).collect()}
-    assert text["c.pdf"]["text"].startswith("error ValueError") and "structure StructTreeRoot + Marked" in text["b.pdf"]["text"] and "roles P=" in text["b.pdf"]["text"] and '"pages":3' in text["a.pdf"]["json"]
+    assert text["c.pdf"]["text"].startswith("error ValueError") and "structure StructTreeRoot + Marked" in text["b.pdf"]["text"] and "roles H2=2 P=2 " in text["b.pdf"]["text"] and '"pages":3' in text["a.pdf"]["json"]
     nothing = found.limit(0)
     for fn in (P.pages, P.glyphs, P.lines, P.blocks, P.sections, P.elements, P.images, P.bundles, P.markdown_files, P.markdown_pages, P.objects, P.metadata, P.stats, P.operators, P.rules, P.probe):
         assert fn(nothing).count() == 0

@@ -157,6 +157,21 @@ def test_marks_artifacts_and_hidden_text():
     assert [b.text for b in blocks(shown.lines, shown.rules)] == ["claimed"]
 
 
+def test_runs_and_single_glyphs_agree():
+    rng = random.Random(8)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            text = w.literal("".join(rng.choice("ab cd-.e\x95W") for _ in range(rng.randint(0, 6))))
+            parts.append(rng.choice([text + b" Tj", b"[" + text + b" %d " % rng.randint(-900, 200) + text + b"] TJ", b"%d Tc" % rng.randint(0, 2), b"%d Tw" % rng.randint(-1, 3), b"/F%d %d Tf" % (rng.randint(1, 2), rng.choice((8, 10))), b"%d %d Td" % (rng.randint(-9, 60), -rng.choice((0, 0, 12, 30))), b"80 Tz"]))
+        s = Store(w.document([b"BT /F1 10 Tf 50 700 Td " + b" ".join(parts) + b" ET"], fonts={"F1": w.font(), "F2": w.font("Courier")}))
+        shown = []
+        for record in (False, True):
+            page, walk = read_page(s, 1, record=record)
+            shown.append([(sp.text, sp.style, [round(v, 6) for v in sp.box]) for b in page.blocks for sp in b.spans])
+        assert shown[0] == shown[1], parts
+
+
 def test_forms_states_and_rotation():
     out = w.Writer()
     root, tree = out.add(), out.add()
@@ -165,7 +180,7 @@ def test_forms_states_and_rotation():
     page = out.add({"Type": Name("Page"), "Contents": out.stream(b"q 2 0 0 2 100 100 cm /Me Do Q BT 0 1 -1 0 300 300 Tm /F1 10 Tf (up) Tj ET"), "Resources": {"Font": {"F1": font}, "XObject": {"Me": form}, "Properties": {"M": {"MCID": 8}}}})
     out.put(tree, {"Kids": [page]})
     out.put(root, {"Pages": tree})
-    page, walk = read_page(Store(out.finish({"Root": root})), 1)
+    page, walk = read_page(Store(out.finish({"Root": root})), 1, record=True)
     first = walk.placed[0]
     assert (first.text, round(first.along), round(first.cross), round(first.height)) == ("i", 120, 140, 20)
     assert walk.placed[-1].orient == 6 and page.blocks[-1].text == "up"
