@@ -1,4 +1,4 @@
-"""Blocks as Markdown, outlines as a bundle of files."""
+"""Blocks in rows as Markdown, and rows as files. For whole files see operators/files."""
 
 from __future__ import annotations
 
@@ -53,8 +53,12 @@ def frontmatter(fields: dict[str, Column], flags: dict[str, Column]) -> Column:
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """Each row becomes a file below root, written by the executors. A path that occurs twice is an error."""
-    twice = files.groupBy("doc_id", "path").count().where("count > 1").take(1)
+    """Each row (doc_id, path, content as text or bytes) becomes a file below root, written by the executors, so root is a folder that all of them share.
+
+    A path that occurs twice is an error, and rows without a path or content are left out. A task that runs again writes the same files.
+    """
+    kept = files.select("doc_id", "path", "content").where("path IS NOT NULL AND content IS NOT NULL")
+    twice = kept.groupBy("doc_id", "path").count().where("count > 1").take(1)
     if twice:
         raise ValueError(f"two files have one path: {twice[0]['path']}")
 
@@ -64,6 +68,7 @@ def write_files(files: DataFrame, root: str) -> None:
         for r in rows:
             p = Path(root) / str(r["doc_id"]) / r["path"].lstrip("/")
             p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_text(r["content"])
+            data = r["content"]
+            p.write_bytes(data.encode() if isinstance(data, str) else bytes(data))
 
-    files.foreachPartition(put)
+    kept.foreachPartition(put)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.document import doctags
-from quirefold.operators.files import BLOCK, BOX, _each, _pages
+from quirefold.functions import geometry as G
+from quirefold.operators.files import BOX, _each, _pages, page_tasks
 from quirefold.operators.joins import replace_pages
 from quirefold.sources.pdf.page import read_page
 
@@ -75,6 +76,37 @@ def recognised(files: DataFrame, pages: DataFrame, rasterise: Callable[..., Any]
     return todo.mapInPandas(each, "doc_id long, page int, tags string, extent array<double>, error string")
 
 
+def rasters(files: DataFrame, draw: Callable[..., bytes], dpi: float = 200.0, max_pixels: float = 64e6, extension: str = "png") -> DataFrame:
+    """doc_id, page, path, width, height, content, error: each page as an image file; draw(payload, page, width, height) makes it.
+
+    The size is the page's at this resolution, scaled down where it has too many pixels; names are padded to the number of pages.
+    """
+    sizes = page_tasks(files, 1).select("doc_id", "payload", "first", "last")
+    own = _each(sizes, _extents, "page int, total int, width double, height double", keep_payload=True)
+    w, h = G.fit(F.col("width"), F.col("height"), F.lit(dpi), F.lit(max_pixels))
+    fitted = own.select("doc_id", "payload", "page", "total", w.alias("width"), h.alias("height")).repartition(F.col("doc_id"), F.col("page"))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                data, error = None, None
+                try:
+                    data = draw(bytes(r.payload), int(r.page), int(r.width), int(r.height))
+                except Exception as e:  # noqa: BLE001 - one page's failure is that page's
+                    error = f"{type(e).__name__}: {e}"
+                out.append((r.doc_id, r.page, f"page-{r.page:0{len(str(r.total))}d}.{extension}", r.width, r.height, data, error))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "path", "width", "height", "content", "error"])
+
+    return fitted.mapInPandas(each, "doc_id long, page int, path string, width long, height long, content binary, error string")
+
+
+def _extents(store, first: int, last: int | None) -> Iterator[tuple]:  # noqa: ANN001
+    for n in _pages(store, first, last):
+        x0, y0, x1, y1 = store.page_box(store.pages[n - 1])
+        yield n, len(store.pages), x1 - x0, y1 - y0
+
+
 def tagged_blocks(tagged: DataFrame) -> DataFrame:
     """doc_id, page and the blocks of tagged text; columns doc_id, page, tags and, where boxes are wanted, x0, y0, width, height of the page."""
     places = [c for c in ("x0", "y0", "width", "height") if c in tagged.columns]
@@ -104,5 +136,3 @@ def with_recognised(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     new = blocks.where("error IS NULL").groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "text"))), lambda b: b["text"]), "\n").alias("text"))
     return replace_pages(pages.select("doc_id", "page", "text"), new).select("doc_id", "page", "text")
 
-
-__all__ = ["BLOCK", "page_coverages", "plan_lines", "recognised", "routed", "tagged_blocks", "with_recognised"]

@@ -74,6 +74,22 @@ def test_routing(spark):
         R.routed(pages, 1.5)
 
 
+def test_rasters_and_binary_files(spark, folder, tmp_path):
+    found = P.read_files(spark, str(folder / "a.pdf"))
+
+    def draw(payload, page, width, height):
+        if page == 2:
+            raise RuntimeError("no ink")
+        return b"%d %d %d" % (page, width, height)
+
+    made = R.rasters(found, draw, dpi=144.0)
+    rows = {r["page"]: r for r in made.collect()}
+    assert bytes(rows[1]["content"]) == b"1 1224 1584" and rows[2]["error"] == "RuntimeError: no ink" and rows[3]["path"] == "page-3.png"
+    assert {r["width"] for r in R.rasters(found, draw, max_pixels=1e4).collect()} == {87}
+    markdown.write_files(made, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.rglob("*.png")) == ["page-1.png", "page-3.png"]
+
+
 def test_stream(spark, folder, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()
