@@ -42,22 +42,13 @@ LOWEST, HIGHEST = 0.15, 0.995
 
 def equal_near(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte, how many of the WINDOW - 1 bytes before it equal it, and how many of those after it; itself counted too."""
-    pos = np.argsort(data, kind="stable").astype(np.int32)
-    val = data[pos]
-    before, after = np.ones(len(data), np.int32), np.ones(len(data), np.int32)
-    rows = np.arange(len(data), dtype=np.int32)
-    for k in range(1, WINDOW):
-        rows = rows[rows >= k]
-        other = rows - k
-        near = (val[rows] == val[other]) & (pos[rows] - pos[other] < WINDOW)
-        rows = rows[near]
-        if not len(rows):
-            break
-        before[rows] += 1
-        after[other[near]] += 1
-    out = np.empty((2, len(data)), np.int32)
-    out[0, pos], out[1, pos] = before, after
-    return out[0], out[1]
+    n = len(data)
+    before, after = np.ones(n, np.uint8), np.ones(n, np.uint8)
+    for k in range(1, min(WINDOW, n)):
+        same = (data[k:] == data[:-k]).view(np.uint8)
+        before[k:] += same
+        after[:-k] += same
+    return before, after
 
 
 def levels(data: np.ndarray) -> np.ndarray:
