@@ -6,20 +6,23 @@ consecutive windows the leftmost rarest one scores; windows that score LEAST tim
 into Bloom filters of BLOOM bits with HASHES bits each, a new filter after FILL features. Two fingerprints compare by the
 overlap of their filters, normalised so that 0 is what chance gives and 1 is all bits of the smaller filter.
 
-A document's match is the other one, earlier or later, whose set of features has the highest Jaccard similarity with its own
-(ties: the smallest doc_id), if that is ALIKE or more, and the two fingerprints are compared. Every document is a query and
-nothing is capped: two sets that are alike share one of the rarest features of both (as many as may be missing from what has to be
-shared, and one), so only documents with such a feature in common meet, in a join that may split a hot feature over tasks, and
-all of their features are then compared. Features of a passage that very many texts share are in no such prefix
-unless the passage is a large part of the text. Texts of equal sets (by a 64-bit hash) are one.
-
-Defined results: texts shorter than a window (null and empty ones too) have no features, an empty fingerprint, no match and no
-score; a text with no other that is alike has no match and no score; comparing an empty fingerprint gives 0; repeated rows get equal fingerprints; rows that share a doc_id don't match each
-other and get the same match; a null doc_id has a fingerprint, neither matches nor is matched. Only doc_id and text are read.
+Two documents are linked when the Jaccard similarity of their sets of features is ALIKE or more. Each row has the number of other
+documents that its own is linked to (links), its class (the smallest doc_id that links lead to, directly or over others) and its
+match: the linked document of the highest similarity (ties: the smallest doc_id), whose fingerprint is compared with its own. Every
+document is a query and nothing is capped. Features that exactly the same texts have are one item that weighs as many. Two sets that are
+alike have an item in common that is among the rarest of both: what follows it in the common order of items weighs too
+little. Each set is sent to each of these, with all of its items where it may meet another, so what moves grows with the texts and not
+with their pairs; a pair counts at the first item it has in common. Texts of equal sets (by a 64-bit hash) are one, and count as many.
+
+Defined results: texts shorter than a window (null and empty ones too) have no features, an empty fingerprint, no match, no
+score and no links; a text with no other that is alike has no match, no score, no links and its own doc_id as class; comparing an empty fingerprint gives 0; repeated rows get equal fingerprints; rows that share a doc_id don't match each
+other, and get the same match, class and number of links; a null doc_id has a fingerprint and no class, neither matches nor is matched. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import textkernel as K
-from quirefold.llm.common import MAX_BROADCAST_IDS, map_batches, split_by_ids, written
+from quirefold.llm.common import map_batches, split_by_ids, written
+from quirefold.llm.simhash import components
 
 WINDOW, POPULAR, LEAST, LEVELS = 64, 64, 16, 256
 ALIKE = 0.2
+PAIRS = 1 << 17
 BLOOM, HASHES, FILL = 2048, 5, 160
 SCALE = 1 << 20
 _N = np.arange(WINDOW + 1)
@@ -174,77 +179,222 @@ def digests(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n_features long, filters binary, features array<long>")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """a, b: the pairs of documents that may be alike, a < b. sets: doc_id, size, features (distinct)."""
-    each = sets.select("doc_id", F.col("size").alias("n"), F.explode("features").alias("f"))
-    shared = written(each.groupBy("f").agg(F.count("*").alias("df")).where("df > 1"), "shared-features")
-    small = shared.count() <= MAX_BROADCAST_IDS
-    common = each.join(F.broadcast(shared) if small else shared, "f").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "f"))).alias("fs"))  # as many as the text's own features at most
-    least = F.ceil(F.lit(ALIKE) * F.col("n") - F.lit(1e-9))
-    rare = common.where(F.size("fs") >= least).select("doc_id", "n", F.slice("fs", 1, (F.size("fs") - least + 1).cast("int")).alias("fs"))
-    rare = written(rare.select("doc_id", "n", F.explode("fs.f").alias("f")), "rare-features")
-    other = rare.select("f", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    near = rare.select("f", F.col("doc_id").alias("a"), F.col("n").alias("na")).join(other, "f").where("a < b").where(F.least("na", "nb") >= F.lit(ALIKE) * F.greatest("na", "nb") - F.lit(1e-9))
-    # beyond the rare features that two have in common they share at most what one of them has behind its rare ones
-    most = F.count("*") + F.ceil(F.lit(ALIKE) * F.greatest("na", "nb") - F.lit(1e-9)) - 1
-    needed = F.lit(ALIKE / (1 + ALIKE)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
-    return near.groupBy("a", "b", "na", "nb").agg(most.alias("most")).where(F.col("most") >= needed).select("a", "b").distinct()
-
-
-def alike_pairs(sets: DataFrame) -> DataFrame:
-    """a, b, j: the pairs of documents whose Jaccard similarity j is ALIKE or more, a < b. sets: doc_id, size, features (distinct)."""
-    near = written(candidates(sets), "candidates")
-    some, _ = split_by_ids(sets, near.select(F.col("a").alias("__id")).union(near.select("b")).distinct(), "doc_id")  # else all sets would be shuffled
-    pairs = near.join(some.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
-    pairs = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-
-    def jaccard(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = np.zeros(b.num_rows)
-        for k in range(0, b.num_rows, 1024):
-            (x, nx), (y, ny) = ((c.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64)) for c in (b.column(i).slice(k, 1024) for i in (2, 3)))
-            row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
-            f = np.concatenate([x, y])
-            order = np.lexsort((f, row))
-            row, f = row[order], f[order]
-            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (f[1:] == f[:-1])], minlength=len(nx))
-            out[k : k + 1024] = both / (nx + ny - both)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["a", "b", "j"])
-
-    return map_batches(pairs.select("a", "b", "fa", "fb"), jaccard, "a long, b long, j double").where(F.col("j") >= F.lit(ALIKE) - F.lit(1e-9))
+def item_lists(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """set, size, n, first, several, items, weights: of each set that shares a feature.
+
+    sets: set, features (distinct); groups: set, size, n, first, several. Items order by the logarithm of their number of sets.
+    """
+    each = sets.select("set", F.explode("features").alias("f")).repartition("f")
+    item = F.expr("shiftleft(CAST(floor(log2(count(*))) AS BIGINT), 58) | shiftrightunsigned(xxhash64(count(*), bit_xor(xxhash64(set))), 6)")
+    shared = each.groupBy("f").agg(F.count("*").alias("df"), item.alias("item")).where("df > 1").select("f", "item")
+    items = each.join(shared.hint("shuffle_hash"), "f").select("set", "item").repartition("set").groupBy("set", "item").agg(F.count("*").cast("int").alias("w"))
+    common = items.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("item", "w"))).alias("fs"))
+    return common.join(groups.select("set", "size", "n", "first", "several"), "set").select("set", "size", "n", "first", "several", F.col("fs.item").alias("items"), F.col("fs.w").alias("weights"))
+
+
+def rare_items(lists: DataFrame) -> DataFrame:
+    """item, at, set, size, left, head, before: a row for each set and each of its rare items; at: the item's place among the set's; left: what
+    it and those behind it weigh; head, before: the set's first item, and the one before this."""
+
+    def rare(b: pa.RecordBatch) -> pa.RecordBatch:
+        count = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(b.num_rows), count)
+        flat, w = (b.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+        first = np.cumsum(count) - count
+        ahead = np.cumsum(w) - w
+        left = np.bincount(doc, weights=w, minlength=b.num_rows).astype(np.int64)[doc] - (ahead - ahead[first[doc]])
+        ident, size = (b.column(k).to_numpy()[doc] for k in (0, 1))
+        own = np.flatnonzero(left >= np.ceil(ALIKE * size - 1e-9))
+        begin = first[doc[own]]
+        cols = [flat[own], (own - begin).astype(np.int32), ident[own], size[own], left[own], flat[begin], flat[np.maximum(own - 1, begin)]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["item", "at", "set", "size", "left", "head", "before"])
+
+    return map_batches(lists.select("set", "size", "items", "weights"), rare, "item long, at int, set long, size long, left long, head long, before long")
+
+
+def _may_meet(at: np.ndarray, size: np.ndarray, left: np.ndarray, head: np.ndarray, before: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs can have their first common item here and still be alike."""
+    earlier = (at[i] > 0) & (at[j] > 0) & ((head[i] == head[j]) | (before[i] == before[j]))
+    return ~earlier & (np.minimum(left[i], left[j]) >= ALIKE / (1 + ALIKE) * (size[i] + size[j]) - 1e-9)
+
+
+def meeting(b: pa.RecordBatch) -> pa.RecordBatch:
+    """item, at, set of the rows that may meet another of their run."""
+    key, at, _, size, left, head, before = (c.to_numpy() for c in b.columns)
+    alive = np.zeros(len(key), bool)
+    for i, j in _pairs(key):
+        on = _may_meet(at, size, left, head, before, i, j)
+        alive[i[on]] = alive[j[on]] = True
+    return b.select(["item", "at", "set"]).filter(pa.array(alive))
+
+
+def by_runs(rows: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn on batches of whole runs of equal items."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # the run that may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            if kept and key[0] != kept[0].column(0)[0].as_py():
+                yield fn(pa.concat_batches(kept))
+                kept = []
+            if cut := int(np.searchsorted(key, key[-1])):
+                yield fn(pa.concat_batches([*kept, b.slice(0, cut)]))
+                kept = []
+            kept.append(b.slice(cut))
+        if kept:
+            yield fn(pa.concat_batches(kept))
+
+    return rows.repartition("item").sortWithinPartitions("item", "set").mapInArrow(each, schema)
+
+
+def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with equal keys (sorted), some PAIRS at once."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    last, rows = np.repeat(start + size, size), np.arange(len(key))
+    a: list[np.ndarray] = []
+    many, k = 0, 1
+    while len(rows := rows[rows + k < last[rows]]):
+        a.append(np.stack([rows, rows + k]))
+        many, k = many + len(rows), k + 1
+        if many >= PAIRS:
+            yield tuple(np.concatenate(a, 1))
+            a, many = [], 0
+    if many:
+        yield tuple(np.concatenate(a, 1))
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """In place: root[i] is the smallest row of i's component, now with the edges a, b."""
+    while len(a):
+        a, b = root[a], root[b]
+        on = a != b
+        a, b = a[on], b[on]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
+def compare_sets(b: pa.RecordBatch) -> pa.RecordBatch:
+    """What the pairs that are alike, and have their first common item here, give each set. b: whole runs of equal items, with their sets' lists."""
+    key, at, ident, size, n, first, several = (c.to_numpy(zero_copy_only=False) for c in b.columns[:7])
+    count = pc.list_value_length(b.column(7)).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(count) - count
+    names, code = np.unique(b.column(7).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    w = b.column(8).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = np.zeros(len(names), np.int64)
+    weight[code] = w
+    here, ahead = np.searchsorted(names, key), np.cumsum(w) - w
+    left = ahead[begin] + np.bincount(np.repeat(np.arange(len(count)), count), weights=w).astype(np.int64) - ahead[begin + at]  # the item's weight and those after it
+    head, before = code[begin], code[begin + np.maximum(at - 1, 0)]
+    links, best, match, root = np.zeros(len(key), np.int64), np.zeros(len(key)), np.zeros(len(key), np.int64), np.arange(len(key))
+    told: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    for i, j in _pairs(key):
+        on = _may_meet(at, size, left, head, before, i, j)
+        i, j = i[on], j[on]
+        row = np.concatenate([np.repeat(np.arange(len(i)), count[x]) for x in (i, j)])
+        where = np.concatenate([np.repeat(begin[x] - np.cumsum(count[x]) + count[x], count[x]) + np.arange(count[x].sum()) for x in (i, j)])
+        k = np.sort(row << 32 | code[where])
+        k = k[1:][k[1:] == k[:-1]]  # what both have, in the order of items
+        row, item = k >> 32, k & 0xFFFFFFFF
+        new = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+        both = np.bincount(row, weights=weight[item], minlength=len(i))
+        j_ = both / (size[i] + size[j] - both)
+        hit = np.zeros(len(i), bool)
+        hit[row[new]] = item[new] == here[i[row[new]]]
+        hit &= j_ >= ALIKE - 1e-9
+        i, j, like = i[hit], j[hit], j_[hit]
+        if not len(i):
+            continue
+        unite(root, i, j)
+        told.append(np.stack([i, j])[:, several[i] | several[j]])
+        a, o, like = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([like, like])
+        np.add.at(links, a, n[o])
+        order = np.lexsort((first[o], -like, a))
+        a, o, like = a[order], o[order], like[order]
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        a, o, like = a[new], first[o[new]], like[new]
+        better = (like > best[a]) | ((like == best[a]) & (o < match[a]))
+        best[a[better]], match[a[better]] = like[better], o[better]
+    own = np.flatnonzero(best > 0)
+    x, y = np.concatenate(told, 1)
+    x, y = np.concatenate([x, y]), np.concatenate([y, x])
+    none = np.zeros(len(x), np.int64)
+    cols = [np.concatenate([ident[own], ident[x]]), np.concatenate([links[own], none]), np.concatenate([best[own], none]), np.concatenate([match[own], none]), np.concatenate([first[own], none]), np.concatenate([first[root[own]], none])]
+    other = pa.array(np.concatenate([own * 0, ident[y]]), mask=np.arange(len(own) + len(x)) < len(own))
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), other], ["set", "links", "j", "match", "first", "root", "other"])
+
+
+def alike(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """set, links, j, match, first, root: parts of each set's links, best match and component; and set, other: each link of a set that a document of several has."""
+
+    lists = written(item_lists(sets, groups), "items")
+    rows = by_runs(rare_items(lists), meeting, "item long, at int, set long").join(lists, "set")
+    rows = rows.select("item", "at", "set", "size", "n", "first", "several", "items", "weights")
+    return by_runs(rows, compare_sets, "set long, links long, j double, match long, first long, root long, other long")
+
+
+def links(made: DataFrame) -> DataFrame:
+    """id, match, class, links of each document that is linked to another. made: doc_id, features."""
+    rows = made.where("doc_id IS NOT NULL AND size(features) > 0").select("doc_id", F.array_distinct("features").alias("features"))
+    rows = rows.select("doc_id", "features", F.size("features").cast("long").alias("size"), F.xxhash64(F.array_sort("features")).alias("set"))
+    known = written(rows.groupBy("doc_id", "set", "size").agg(F.count("*").alias("rows")), "feature-sets")
+    odd = written(known.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.count("*").alias("sets")).where("rows > 1").select(F.col("doc_id").alias("__id"), "sets"), "repeated")
+    several = odd.where("sets > 1").select(F.col("__id").alias("doc_id"))
+    of_several = F.broadcast(written(known.join(several, "doc_id").select("doc_id", "set"), "several"))
+    single = known.join(several, "doc_id", "left_anti")
+    groups = known.select("doc_id", "set", "size").join(several.withColumn("several", F.lit(True)), "doc_id", "left").groupBy("set", "size")
+    groups = written(groups.agg(F.min("doc_id").alias("first"), F.count("*").alias("all"), F.count_if(F.col("several").isNull()).alias("n"), F.coalesce(F.max("several"), F.lit(False)).alias("several")), "equal-sets")
+    members = written(known.join(groups.where("all > 1"), ["set", "size"]).select("doc_id", "set", "first"), "equal-members")
+    second = members.where("doc_id > first").groupBy("set", "first").agg(F.min("doc_id").alias("second"))
+    equal = members.where("doc_id > first").select(F.col("doc_id").alias("id"), F.col("first").alias("match")).union(second.select(F.col("first").alias("id"), F.col("second").alias("match")))
+    equal = equal.groupBy("id").agg(F.min("match").alias("match"))
+    # a set is compared once: a row of a document that has one row, and is not the first of its set, stands for nothing of its own
+    out = written(members.where("doc_id > first").select(F.col("doc_id").alias("__id")).union(odd.select("__id")).distinct(), "copies")
+    _, own = split_by_ids(rows, out, "doc_id")
+    own = rows.join(out, F.col("doc_id") == F.col("__id"), "left_anti") if own is None else own
+    rest = rows.join(odd, F.col("doc_id") == F.col("__id"), "left_semi").join(groups.select("set", F.col("first").alias("doc_id")), ["set", "doc_id"]).dropDuplicates(["set"])
+    found = written(alike(own.select("set", "features").union(rest.select("set", "features")), groups), "alike")
+    part = written(found.where("other IS NULL").groupBy("set").agg(F.sum("links").alias("links"), F.max(F.struct("j", (-F.col("match")).alias("m"))).alias("b")), "alike-sets")
+    best = known.join(part, "set").select(F.col("doc_id").alias("id"), "b.j", (-F.col("b.m")).alias("match")).where("id <> match")
+    best = best.groupBy("id").agg(F.max(F.struct("j", (-F.col("match")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match"))
+    best = written(equal.union(best.join(equal.select("id"), "id", "left_anti")), "matches")
+    edges = found.where("other IS NULL AND first <> root").select("first", "root").union(members.where("doc_id > first").select("doc_id", "first"))
+    edges = edges.union(of_several.join(groups, "set").where("doc_id <> first").select("doc_id", "first"))
+    classes = components(edges.toDF("a", "b"))
+    # documents of several sets are counted one by one, all others by set
+    near = found.where("other IS NOT NULL").select("set", "other").union(groups.where("several").select("set", F.col("set").alias("other"))).distinct()
+    beside = near.join(of_several.select(F.col("set").alias("other"), F.col("doc_id").alias("d")), "other").groupBy("set").agg(F.countDistinct("d").alias("more"))
+    total = groups.select("set", "n").join(part.select("set", "links"), "set", "left").join(beside, "set", "left").select("set", (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("links"))
+    counted = single.join(total, "set").select(F.col("doc_id").alias("id"), "links")
+    around = of_several.join(near, "set").select("doc_id", "other").distinct()
+    mine = around.join(groups.select(F.col("set").alias("other"), "n"), "other").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    theirs = around.join(of_several.select(F.col("set").alias("other"), F.col("doc_id").alias("d")), "other").groupBy("doc_id").agg(F.countDistinct("d").alias("more"))
+    counted = counted.union(mine.join(theirs, "doc_id").select("doc_id", F.col("n") + F.col("more") - 1))
+    linked = best.join(counted.where("links > 0"), "id", "left").join(classes.select(F.col("node").alias("id"), F.col("root").alias("class")), "id", "left")
+    return linked.select("id", "match", F.coalesce("class", "id").alias("class"), "links")
 
 
 def matches(made: DataFrame) -> DataFrame:
     """id, match: the best other document of each, if one is alike. made: doc_id, features."""
-    rows = made.where("doc_id IS NOT NULL AND size(features) > 0").select("doc_id", F.array_distinct("features").alias("features"))
-    rows = rows.select("doc_id", "features", F.size("features").cast("long").alias("size"), F.xxhash64(F.array_sort("features")).alias("set"))
-    known = written(rows.select("doc_id", "size", "set").distinct(), "feature-sets")
-    groups = written(known.groupBy("set", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "equal-sets")
-    members = known.join(groups.where("n > 1"), ["set", "size"])
-    second = members.where("doc_id > first").groupBy("set", "size", "first").agg(F.min("doc_id").alias("second"))
-    equal = members.where("doc_id > first").select(F.col("doc_id").alias("id"), F.col("first").alias("match")).union(second.select(F.col("first").alias("id"), F.col("second").alias("match")))
-    equal = written(equal.groupBy("id").agg(F.min("match").alias("match")), "equal-matches")
-    # a set is compared once: a document that equals an earlier one in all its rows stands for nothing of its own
-    copies = known.join(groups, ["set", "size"]).groupBy("doc_id").agg(F.min(F.col("first") < F.col("doc_id")).alias("copy")).where("copy")
-    copies = written(copies.select(F.col("doc_id").alias("__id")), "copies")
-    _, own = split_by_ids(rows, copies, "doc_id")
-    own = rows.join(copies, F.col("doc_id") == F.col("__id"), "left_anti") if own is None else own
-    pairs = written(alike_pairs(own.select(F.col("set").alias("doc_id"), "size", "features")), "alike")
-    both = pairs.select(F.col("a").alias("set"), F.col("b").alias("other"), "j").union(pairs.select(F.col("b").alias("set"), F.col("a").alias("other"), "j")).distinct()
-    of = groups.select(F.col("set").alias("other"), F.col("first").alias("match"))
-    best = known.join(both, "set").join(of, "other").where("doc_id <> match").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.struct("j", (-F.col("match")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match"))
-    return equal.union(best.join(equal.select("id"), "id", "left_anti"))
+    return links(made).select("id", "match")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_features, filters, match, score for every row."""
+    """doc_id, n_features, filters, match, score, class, links for every row."""
     made = written(digests(docs, level_ranks(docs)), "digests")
-    best = matches(made)
-    other = made.groupBy(F.col("doc_id").alias("match")).agg(F.max("filters").alias("other"))
-    matched = best.join(other, "match").select("id", "match", "other")
-    rows = made.select("doc_id", "n_features", "filters").join(matched, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_features", "filters", "match", "other")
+    best = written(links(made), "links")
+    some, _ = split_by_ids(made.select("doc_id", "filters"), best.select(F.col("match").alias("__id")).distinct(), "doc_id")
+    other = some.groupBy(F.col("doc_id").alias("match")).agg(F.max("filters").alias("other"))
+    matched = best.join(other, "match").select("id", "match", "other", "class", "links")
+    rows = made.select("doc_id", "n_features", "filters").join(matched, F.col("doc_id") == F.col("id"), "left")
+    rows = rows.select("doc_id", "n_features", "filters", "match", "other", F.coalesce("class", "doc_id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
         s = [None if m is None else compare(x, y) for m, x, y in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s, pa.float64())], ["doc_id", "n_features", "filters", "match", "score"])
+        return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s, pa.float64()), *b.columns[5:]], ["doc_id", "n_features", "filters", "match", "score", "class", "links"])
 
-    return map_batches(rows, score, "doc_id long, n_features long, filters binary, match long, score double")
+    return map_batches(rows, score, "doc_id long, n_features long, filters binary, match long, score double, class long, links long")

@@ -116,3 +116,38 @@ def test_odd_rows(spark):
     assert by[None][0]["n_features"] == by[4][0]["n_features"] > 0 and by[None][0]["match"] is None
     assert by[7][0]["n_features"] > 250 * by[4][0]["n_features"]
     assert fp.fingerprints(df.limit(0)).count() == 0
+
+
+def test_links_by_brute_force(spark):
+    """Every link counts, also that of the third copy, of a passage many share, and of documents with several texts."""
+    rng = random.Random(6)
+    rows = [(i, {rng.randrange(50) for _ in range(rng.randint(1, 20))}) for i in range(70)]
+    rows += [(80 + i, set(range(500, 512)) | {600 + i, 700 + i % 5}) for i in range(60)]
+    rows += [(150, rows[3][1]), (151, rows[3][1]), (152, rows[75][1]), (5, rows[75][1]), (5, rows[3][1]), (6, rows[6][1]), (6, rows[6][1]), (152, rows[9][1]), (160, {9001}), (161, {9001}), (162, {9002})]
+    made = spark.createDataFrame([(i, sorted(s)) for i, s in rows], "doc_id long, features array<long>")
+    near = {i: {} for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i != j and len(a & b) >= fp.ALIKE * len(a | b) > 0:
+                near[i][j] = max(near[i].get(j, 0), len(a & b) / len(a | b))
+    want = {}
+    for i in near:
+        seen, queue = {i}, [i]
+        while queue:
+            new = near[queue.pop()].keys() - seen
+            seen |= new
+            queue += new
+        if near[i]:
+            want[i] = (min((-s, j) for j, s in near[i].items())[1], min(seen), len(near[i]))
+    assert {r["id"]: (r["match"], r["class"], r["links"]) for r in fp.links(made).collect()} == want
+    assert want[160] == (161, 160, 1) and 162 not in want and want[100][2] >= 59
+
+
+def test_linked_pairs_are_not_rows(spark):
+    """What is written for a passage that all share grows with the texts, not with their pairs."""
+    n = 300
+    sets = [(i, i, [*range(10), 1000 + i, 2000 + i // 2]) for i in range(n)]
+    df = spark.createDataFrame(sets, "doc_id long, set long, features array<long>")
+    groups = df.selectExpr("set", "12L AS size", "1L AS n", "doc_id AS first", "false AS several")
+    rows = fp.alike(df.select("set", "features"), groups).collect()
+    assert len(rows) <= 3 * n and sum(r["links"] for r in rows) == n * (n - 1)
