@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import textkernel as K
 from quirefold.llm.common import map_batches, split_by_ids, written
-from quirefold.llm.simhash import components
+from quirefold.llm.simhash import components, unite
 
 WINDOW, POPULAR, LEAST, LEVELS = 64, 64, 16, 256
 ALIKE = 0.2
@@ -267,17 +267,6 @@ def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield tuple(np.concatenate(a, 1))
 
 
-def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """In place: root[i] is the smallest row of i's component, now with the edges a, b."""
-    while len(a):
-        a, b = root[a], root[b]
-        on = a != b
-        a, b = a[on], b[on]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(up := root[root], root):
-            root[:] = up
-
-
 def compare_sets(b: pa.RecordBatch) -> pa.RecordBatch:
     """What the pairs that are alike, and have their first common item here, give each set. b: whole runs of equal items, with their sets' lists."""
     key, at, ident, size, n, first, several = (c.to_numpy(zero_copy_only=False) for c in b.columns[:7])
@@ -344,7 +333,7 @@ def links(made: DataFrame) -> DataFrame:
     known = written(rows.groupBy("doc_id", "set", "size").agg(F.count("*").alias("rows")), "feature-sets")
     odd = written(known.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.count("*").alias("sets")).where("rows > 1").select(F.col("doc_id").alias("__id"), "sets"), "repeated")
     several = odd.where("sets > 1").select(F.col("__id").alias("doc_id"))
-    of_several = F.broadcast(written(known.join(several, "doc_id").select("doc_id", "set"), "several"))
+    of_several = written(known.join(several, "doc_id").select("doc_id", "set"), "several")
     single = known.join(several, "doc_id", "left_anti")
     groups = known.select("doc_id", "set", "size").join(several.withColumn("several", F.lit(True)), "doc_id", "left").groupBy("set", "size")
     groups = written(groups.agg(F.min("doc_id").alias("first"), F.count("*").alias("all"), F.count_if(F.col("several").isNull()).alias("n"), F.coalesce(F.max("several"), F.lit(False)).alias("several")), "equal-sets")

@@ -6,9 +6,9 @@ component of that relation. Signatures that differ in at most 2s - 1 bits, cut i
 in at most one bit, so both have an equal variant of that segment with one bit left out. Each signature emits all variants
 of all segments; rows with equal variants meet in one partition, sorted, and every candidate is verified.
 
-Within a run of equal variants all pairs are verified while it is short. In a long one a breadth-first search does it:
-each member that was reached is compared with all not yet reached, which gives the same components without comparing the
-members of one group with each other. Nothing is capped.
+Within a run of equal variants all pairs are verified, by shifts of all short runs at once, and in blocks of a long one; rows of
+a long run that are known to be in one component aren't compared with each other. Of a batch only as many edges go on as connect
+its components. Nothing is capped.
 
 Defined results: texts without words (null, empty) are in no group; rows whose doc_id is null are in no group and stay; rows
 that share a doc_id are one document, which joins the groups of each of its texts and stays or goes as a whole; ties keep
@@ -29,7 +29,8 @@ from quirefold.llm import textkernel as K
 from quirefold.llm.common import ROW, map_batches, packed, split_by_ids, written
 
 BITS, MAX_BITS = 128, 15
-SHORT_RUN, CHUNK = 48, 256
+SHORT_RUN, CHUNK = 160, 256
+BLOCK = 1 << 18
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,23 +95,38 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16) + np.bitwise_count(a[..., 1] ^ b[..., 1])
 
 
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """In place: root[i] is the smallest row of i's component, now with the edges a, b."""
+    while len(a):
+        a, b = root[a], root[b]
+        on = a != b
+        a, b = a[on], b[on]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
 def _search(node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect each component of one run."""
-    left, queue = np.arange(len(node)), []
-    a, b = [], []
-    while len(left):
-        if not len(queue):
-            queue, left = left[:1], left[1:]
-        front, queue = queue[:CHUNK], queue[CHUNK:]
-        if len(left):
-            near = _distance(sig[front][:, None], sig[left][None]) <= most
-            hit = near.any(0)
-            a.append(node[front[near.argmax(0)[hit]]])
-            b.append(node[left[hit]])
-            queue = np.concatenate([queue, left[hit]]).astype(np.int64)
-            left = left[~hit]
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return cat(a), cat(b)
+    hi = np.ascontiguousarray(sig[:, 0])
+    root, todo = np.arange(len(node)), np.arange(len(node))
+    step = min(max(BLOCK // len(node), 16), CHUNK)
+    while len(todo):
+        front, rest = todo[:step], todo[step:]
+        one = root[front[0]]
+        if (root[front] == one).all():
+            others = rest[root[rest] != one]
+        else:
+            others = todo
+        i, j = np.nonzero(np.bitwise_count(hi[front][:, None] ^ hi[others][None]) <= most)
+        i, j = front[i], others[j]
+        near = (root[i] != root[j]) & (_distance(sig[i], sig[j]) <= most)
+        unite(root, i[near], j[near])
+        todo = rest
+        if np.count_nonzero(near) > step:  # rows of one component come together
+            todo = rest[np.argsort(root[rest], kind="stable")]
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return node[root[own]], node[own]
 
 
 def edges_of(key: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +137,22 @@ def edges_of(key: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> t
     for s, n in zip(start[size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
         x, y = _search(node[s : s + n], sig[s : s + n], most)
         a.append(x), b.append(y)
-    last = np.repeat(start + size, size)  # end of the run of each row
-    rows = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT_RUN), size))
+    hi = np.ascontiguousarray(sig[:, 0])
+    last = np.repeat(np.where(size <= SHORT_RUN, start + size, 0), size)  # end of the run of each row
+    short = size[size <= SHORT_RUN]
+    rows = None
     for k in range(1, SHORT_RUN):
-        rows = rows[rows + k < last[rows]]
-        if not len(rows):
+        short = short[short > k]
+        if not len(short):
             break
-        near = rows[_distance(sig[rows], sig[rows + k]) <= most]
+        if rows is None and 4 * int((short - k).sum()) > len(key):
+            near = np.flatnonzero(np.bitwise_count(hi[k:] ^ hi[:-k]) <= most)
+            near = near[near + k < last[near]]
+        else:  # few rows are left
+            rows = np.arange(len(key)) if rows is None else rows
+            rows = rows[rows + k < last[rows]]
+            near = rows[np.bitwise_count(hi[rows] ^ hi[rows + k]) <= most]
+        near = near[_distance(sig[near], sig[near + k]) <= most]
         a.append(node[near]), b.append(node[near + k])
     return np.concatenate(a), np.concatenate(b)
 
@@ -138,9 +163,11 @@ def near_edges(variant_rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: list[np.ndarray]) -> pa.RecordBatch:
             x, y = edges_of(part[0], part[1], np.stack([c.view(np.uint64) for c in part[2:]], 1), max_bits)
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            pairs = np.unique(np.stack([x, y], 1)[x != y], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            nodes, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+            root = np.arange(len(nodes))
+            unite(root, code[: len(x)], code[len(x) :])
+            own = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[root[own]]), pa.array(nodes[own])], ["a", "b"])
 
         kept: list[list[np.ndarray]] = []  # the run that may go on in the next batch
         for batch in batches:

@@ -228,3 +228,36 @@ def test_packing_counts_bpe_tokens(spark, docs):
     assert got.groupby("doc_id").tokens.sum().to_dict() == want and (got.doc_id == len(ODD)).sum() > 1
 
 
+
+
+def test_simhash_work_on_long_runs(spark, monkeypatch):
+    """A long run of texts that aren't alike takes a step for each block, not for each text; copies take no edge for each pair."""
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    sig[2990] = sig[7] ^ np.array([5, 9], np.uint64)
+    steps, distance = [], simhash._distance
+    monkeypatch.setattr(simhash, "_distance", lambda a, b: (steps.append(1), distance(a, b))[1])
+    a, b = simhash.edges_of(np.zeros(3000, np.int64), np.arange(3000), sig, 15)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(7, 2990)} and len(steps) < 300
+    near = [(3, i, 77, 1 << i) for i in range(40)]
+    edges = simhash.near_edges(spark.createDataFrame(near, "key long, node long, hi long, lo long")).collect()
+    assert {x for r in edges for x in r} == set(range(40)) and len(edges) < 80
+
+
+def test_simhash_runs_by_brute_force():
+    rng = np.random.default_rng(9)
+    size = [1, 2, 5, 40, 100, 159, 160, 161, 400, 900]
+    key = np.repeat(np.arange(len(size)), size)
+    sig = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)[rng.integers(0, 60, len(key))]
+    for row in sig:
+        for bit in rng.integers(0, 64, 8):
+            row[bit % 2] ^= np.uint64(1) << np.uint64(bit)
+    a, b = simhash.edges_of(key, np.arange(len(key)), sig, 15)
+    want, got = np.arange(len(key)), np.arange(len(key))
+    for i in range(len(key)):
+        for j in np.flatnonzero((key == key[i]) & (simhash._distance(sig[i][None], sig) <= 15)):
+            want[want == max(want[i], want[j])] = min(want[i], want[j])
+    for i, j in zip(a, b, strict=True):
+        assert key[i] == key[j]
+        got[got == max(got[i], got[j])] = min(got[i], got[j])
+    assert got.tolist() == want.tolist() and 60 < len(set(want.tolist())) < len(key)
