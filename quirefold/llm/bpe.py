@@ -87,34 +87,29 @@ class Codec:
         return out
 
     def merge_rows(self, parts: np.ndarray, n: np.ndarray) -> None:
-        """In place: parts has a word's tokens in each row, n their number."""
+        """In place: parts has a word's tokens in each row, n their number. Rows that still merge lose a column with each step."""
         rows, width = np.arange(len(parts)), parts.shape[1]
         ids = parts.copy()
         ranks = np.full((len(parts), width), NONE, np.int32)
         for j in range(width - 1):
             own = np.flatnonzero(n > j + 1)
             ranks[own, j] = self.rank(ids[own, j], ids[own, j + 1])
-        col = np.arange(width)[None]
         while len(rows):
             at = ranks.argmin(1)
             least = ranks[np.arange(len(rows)), at]
             on = least < NONE
             if not on.all():
                 done = rows[~on]
-                parts[done] = ids[~on]
+                parts[done, : ids.shape[1]] = ids[~on]
                 rows, ids, ranks, at, least = rows[on], ids[on], ranks[on], at[on], least[on]
                 if not len(rows):
                     break
             n[rows] -= 1
             k = np.arange(len(rows))
             ids[k, at] = least
-            source = np.minimum(col + (col > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, source, 1)
-            source = np.minimum(col + (col >= at[:, None] + 1), width - 1)
-            ranks = np.take_along_axis(ranks, source, 1)
+            stay = np.arange(ids.shape[1])[None] != at[:, None] + 1
+            ids, ranks = (x[stay].reshape(len(rows), -1) for x in (ids, ranks))
             size = n[rows]
-            ranks[k, np.maximum(size - 1, 0)] = NONE
-            ranks[:, -1] = NONE
             right = np.flatnonzero(at + 1 < size)
             ranks[k, at] = NONE
             ranks[right, at[right]] = self.rank(ids[right, at[right]], ids[right, at[right] + 1])
@@ -149,8 +144,8 @@ class Codec:
         if not new:
             return
         size = np.array([len(w) for w in new])
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(new)
-        lower = 0
+        flat, count = [np.zeros(0, np.int32)], np.zeros(len(new), np.int64)
+        start, lower, at = np.zeros(len(new), np.int64), 0, self.size
         for upper in (4, 8, 12, 16, 24, 32, SHORT):
             own = np.flatnonzero((size > lower) & (size <= upper))
             lower = upper
@@ -159,24 +154,25 @@ class Codec:
                 raw = np.frombuffer(b"".join(new[i].ljust(upper, b"\0") for i in some), np.uint8).reshape(len(some), upper)
                 parts, n = self.byte[raw], size[some].copy()
                 self.merge_rows(parts, n)
-                flat = parts[np.arange(upper)[None] < n[:, None]]
-                for i, x in zip(some, np.split(flat, np.cumsum(n)[:-1]), strict=True):
-                    out[i] = x
+                flat.append(parts[np.arange(upper)[None] < n[:, None]])
+                count[some], start[some] = n, at + np.cumsum(n) - n
+                at += int(n.sum())
         for i in np.flatnonzero(size > SHORT):
-            out[i] = np.array(self.merge_long(new[i]), np.int32)
-        count = np.array([len(x) for x in out], np.int64)
-        self.flat.append(np.concatenate(out))
-        self.start.append(self.size + np.cumsum(count) - count)
+            flat.append(np.array(self.merge_long(new[i]), np.int32))
+            count[i], start[i] = len(flat[-1]), at
+            at += len(flat[-1])
+        self.flat += flat
+        self.start.append(start)
         self.count.append(count)
-        self.size += int(count.sum())
+        self.size = at
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The rows of all words, known by then, and where each text's end."""
         if len(self.words) > CACHE:
             self.clear()
-        words, find, rows, ends = self.words, self.find, [], []
+        row, find, rows, ends = self.words.__getitem__, self.find, [], []
         for t in texts:
-            rows += [words[w] for w in find(t)]
+            rows.extend(map(row, find(t)))
             ends.append(len(rows))
         self.learn()
         self.flat, self.start, self.count = [np.concatenate(self.flat)], [np.concatenate(self.start)], [np.concatenate(self.count)]

@@ -261,3 +261,16 @@ def test_simhash_runs_by_brute_force():
         assert key[i] == key[j]
         got[got == max(got[i], got[j])] = min(got[i], got[j])
     assert got.tolist() == want.tolist() and 60 < len(set(want.tolist())) < len(key)
+
+
+def test_bpe_learns_words_side_by_side(monkeypatch):
+    """Words of all lengths in one batch, no step for each word; the same tokens as one word at a time."""
+    c = bpe.Codec(open(bpe.VOCABULARY, "rb").read())
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("etaoin shré中"), n)).replace(" ", "x") for n in [*range(1, 40), 64, 65, 200] * 4]
+    monkeypatch.setattr(np, "split", None)
+    tokens, ends = c.encode(words)
+    for i, w in enumerate(words):
+        want = [t for x in c.find(w) for t in c.merge_long(x.encode())]
+        assert tokens[ends[i] : ends[i + 1]].tolist() == want
+    assert c.counts(words).tolist() == np.diff(ends).tolist()
