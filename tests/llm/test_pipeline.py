@@ -123,3 +123,14 @@ def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_edges_grow_with_texts(spark, monkeypatch):
+    """Of near copies all but one go, and what is written to find them is no pair of each two."""
+    words = [f"word{i}" for i in range(60)]
+    texts = [(i, " ".join([*words, f"own{i}"])) for i in range(45)]
+    tables, kept = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: tables.setdefault(name, []).append(out := kept(df, name)) or out)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()] == [0]
+    assert tables["edges"][0].count() < 45 * 5
