@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quirefold.llm import textkernel as K
-from quirefold.llm.common import map_batches
+from quirefold.llm.common import give_back, map_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -230,6 +230,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
                 offsets = pa.array(off.astype(np.int32), mask=np.append(null, False))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.array(exact, mask=null)], ["doc_id", "tokens", "exact"])
         c.clear()  # the worker lives on and may have other things to do
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, tokens array<int>, exact boolean")
 
@@ -246,6 +247,7 @@ def counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
             n = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, mask=null)], ["doc_id", "tokens"])
         c.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, tokens long")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -47,13 +48,34 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))
 
 
+#: Arrow batches are taken in parts of so many bytes, so that neither a worker nor the executor holds a second batch as large as the one that comes.
+PART_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about `most` bytes each, without a copy; no part is empty."""
+    if batch.num_rows:
+        rows = max(1, min(batch.num_rows, most * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Frees what Arrow and the C library keep of freed memory: a Python worker lives on, with the next stage's arrays beside."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """fn on every Arrow batch; None and empty batches are left out."""
+    """fn on parts of every Arrow batch; None is left out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in parts(batch):
+                if (out := fn(part)) is not None:
+                    yield out
+        give_back()
 
     return df.mapInArrow(each, schema)
 

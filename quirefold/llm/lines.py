@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkernel as K
-from quirefold.llm.common import ROW, packed, split_by_ids, written
+from quirefold.llm.common import ROW, give_back, packed, parts, split_by_ids, written
 
 MIN_WORDS, EDIT_WORDS = 1, 8
 _KEYS = ("p0", "s0", "p1", "s1")
@@ -57,7 +57,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, z in K.slices(batch.column(1), 4 << 20):
+            for a, z in K.slices(batch.column(1)):
                 cols: list[list] = [[] for _ in range(8)]
                 for doc_id, text in zip(ids[a:z], batch.column(1).slice(a, z - a).to_pylist(), strict=True):
                     for no, line in enumerate((text or "").split("\n")):
@@ -69,6 +69,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                         for c, v in zip(cols, row, strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "line_no", "h1", "h2", *_KEYS])
+        give_back()
 
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(each, "doc_id long, line_no long, h1 long, h2 long, p0 long, s0 long, p1 long, s1 long")
 
@@ -239,7 +240,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     counted = schema.names.index("n_chars") if "n_chars" in schema.names else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch)):
             row, drop = b.column(0), b.column(1)
             cols = row.flatten()
             hit = np.flatnonzero(pc.is_valid(drop).to_numpy(zero_copy_only=False))
@@ -256,6 +257,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
                     if i is not None:
                         cols[i] = pa.array(values, cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, schema.names)
+        give_back()
 
     changed = rows.select(ROW, "__lines").mapInArrow(each, schema)
     return changed if outside is None else changed.union(outside.select(f"{ROW}.*"))

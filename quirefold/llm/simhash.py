@@ -36,7 +36,7 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 def signature(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two halves of each signature, and which texts have one."""
-    parts = [_signature(texts.slice(a, b - a)) for a, b in K.slices(texts)]
+    parts = [_signature(texts.slice(a, b - a)) for a, b in K.slices(texts, K.SMALL_SLICE_BYTES)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
 
 

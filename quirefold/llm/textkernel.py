@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 R = np.uint64(0x9E3779B97F4A7C15 | 1)
 R_INV = np.uint64(pow(int(R), -1, 1 << 64))
 SLICE_BYTES = 1 << 20
+SMALL_SLICE_BYTES = 1 << 18  # where a byte takes a hundred bytes of scratch or more
 _POW = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 

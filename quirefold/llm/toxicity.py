@@ -83,7 +83,7 @@ def _near(hits: np.ndarray, marks: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    return np.concatenate([np.zeros((0, N_FEATURES)), *(_features(texts.slice(a, b - a), lexicon) for a, b in K.slices(texts))])
+    return np.concatenate([np.zeros((0, N_FEATURES)), *(_features(texts.slice(a, b - a), lexicon) for a, b in K.slices(texts, K.SMALL_SLICE_BYTES))])
 
 
 def _features(texts: pa.Array, lx: Lexicon) -> np.ndarray:
@@ -141,7 +141,7 @@ def _distinct(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def contents(texts: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """The distinct words (0) and word beginnings (by length) of each text, as text number and hash."""
     parts: dict[int, list] = {k: [] for k in (0, *PREFIXES)}
-    for a, z in K.slices(texts):
+    for a, z in K.slices(texts, K.SMALL_SLICE_BYTES):
         low, off = K.buffers(pc.utf8_lower(texts.slice(a, z - a)))
         w = K.words(low, off)
         for k, found in parts.items():

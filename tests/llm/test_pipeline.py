@@ -1,6 +1,7 @@
 """The pipeline's stages, each on what the one before kept, against plain Python."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quirefold.llm import bpe, lines, packing, pii, simhash, toxicity
+from quirefold.llm import bpe, common, lines, packing, pii, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +135,20 @@ def test_near_dedup_edges_grow_with_texts(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()] == [0]
     assert tables["edges"][0].count() < 45 * 5
+
+
+def test_workers_hold_parts_of_a_batch(spark):
+    """However large the Arrow batch, what is made of it at once is bounded, and every row comes through."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 900) AS text")
+    sizes = common.map_batches(docs, lambda b: pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}), "rows long, size long").collect()
+    assert sum(r["rows"] for r in sizes) == 3000 and max(r["size"] for r in sizes) < 2 * common.PART_BYTES
+    texts = pa.array([f"You {i} are some w0rds, " * 60 for i in range(3000)])
+    lexicon = toxicity.Lexicon(toxicity._hashes(["words"]), {}, toxicity._hashes(toxicity.INSULTS), toxicity._hashes(toxicity.SECOND_PERSON))
+    toxicity.features(texts[:10], lexicon)
+    tracemalloc.start()
+    x = toxicity.features(texts, lexicon)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == 3000 and peak < 40e6, peak
+    one = toxicity.features(texts[77:78], lexicon)
+    assert (x[77] == one[0]).all()
