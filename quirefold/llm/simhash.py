@@ -112,12 +112,16 @@ def _search(node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, n
     root, todo = np.arange(len(node)), np.arange(len(node))
     step = min(max(BLOCK // len(node), 16), CHUNK)
     while len(todo):
-        front, rest = todo[:step], todo[step:]
-        one = root[front[0]]
-        if (root[front] == one).all():
-            others = rest[root[rest] != one]
+        own = root[todo] == root[todo[0]]
+        others = todo[~own]
+        if not len(others):  # all that are left are in one component
+            break
+        lead = int(own.argmin())
+        if lead >= min(step, len(todo)):  # rows of one component: the fewer the others, the more of them at once
+            front = todo[: min(lead, max(BLOCK // len(others), step))]
         else:
-            others = todo
+            front, others = todo[:step], todo
+        rest = todo[len(front) :]
         i, j = np.nonzero(np.bitwise_count(hi[front][:, None] ^ hi[others][None]) <= most)
         i, j = front[i], others[j]
         near = (root[i] != root[j]) & (_distance(sig[i], sig[j]) <= most)

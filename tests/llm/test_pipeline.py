@@ -152,3 +152,23 @@ def test_workers_hold_parts_of_a_batch(spark):
     assert len(x) == 3000 and peak < 40e6, peak
     one = toxicity.features(texts[77:78], lexicon)
     assert (x[77] == one[0]).all()
+
+
+def test_near_dedup_rounds_within_a_component(monkeypatch):
+    """Rows that are known to be in one component aren't taken a few at a time, and every link to the others is found."""
+    rng = np.random.default_rng(3)
+    near = np.repeat(rng.integers(0, 1 << 63, (2, 2)).astype(np.uint64), [6000, 300], 0)
+    for _ in range(3):
+        near[np.arange(len(near)), rng.integers(0, 2, len(near))] ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
+    sig = rng.permutation(np.concatenate([near, rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)]))
+    rounds, distance = [], simhash._distance
+    monkeypatch.setattr(simhash, "_distance", lambda a, b: rounds.append(len(a)) or distance(a, b))
+    a, b = simhash._search(np.arange(len(sig)), sig, simhash.MAX_BITS)
+    assert len(rounds) < 40, len(rounds)
+    root = np.arange(len(sig))
+    simhash.unite(root, a, b)
+    want = np.arange(len(sig))
+    for i in range(len(sig)):
+        j = np.flatnonzero(distance(sig[i][None], sig) <= simhash.MAX_BITS)
+        simhash.unite(want, np.full(len(j), i), j)
+    assert (root == want).all() and len(np.unique(root)) == 42
