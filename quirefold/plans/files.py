@@ -35,7 +35,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def made(rows: DataFrame, build: Callable[..., bytes]) -> DataFrame:
-    """doc_id, payload: a file from each row; build gets the columns behind doc_id."""
+    """doc_id, payload: a file from each row, in tasks of about as many rows; build gets the columns behind doc_id."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,7 +44,7 @@ def made(rows: DataFrame, build: Callable[..., bytes]) -> DataFrame:
                 payloads = [build(*row[1:]) for row in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(payloads, pa.binary())], ["doc_id", "payload"])
 
-    return rows.mapInArrow(each, "doc_id long, payload binary")
+    return P.spread(rows, "doc_id").mapInArrow(each, "doc_id long, payload binary")
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -142,7 +142,8 @@ def _report(keys: list[int], words: list[str], tagged: bool, every: int) -> byte
 
 
 def reports(spark: SparkSession, sf: str, tagged: bool) -> DataFrame:
-    rows = read(spark, sf, "orders").groupBy(F.col("o_custkey").cast("long").alias("doc_id")).agg(F.collect_list(F.struct("o_orderkey", "o_orderpriority")).alias("o"))
+    orders = read(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), "o_orderkey", "o_orderpriority")
+    rows = P.spread(orders, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("o_orderkey", "o_orderpriority")).alias("o"))
     return made(rows.select("doc_id", "o.o_orderkey", "o.o_orderpriority"), lambda keys, words: _report(keys, words, tagged, 4))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quirefold.operators import files as P
 from quirefold.operators import markdown
 from quirefold.operators import recognise as R
-from quirefold.plans.files import _report
+from quirefold.plans.files import _report, queries
 from quirefold.sources.pdf import writer as w
 from quirefold.streaming import ingest
 
@@ -38,6 +38,17 @@ def test_sources_and_odd_files(spark, folder):
         assert fn(found).where("doc_id IS NULL").count() == 0
 
 
+def test_made_files_are_spread(spark, tmp_path):
+    """A small table in one row group is read by one task; building and reading its files isn't."""
+    rows = spark.range(600).selectExpr("id AS p_partkey", "id AS o_orderkey", "id % 300 AS o_custkey", "'1-URGENT' AS o_orderpriority").coalesce(1)
+    for name in ("part", "orders"):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, n in (("pdf_page_boxes", 900), ("pdf_sections", 600)):
+        found = queries()[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in found) == n
+        assert len(found) >= 8 and max(r["count"] for r in found) < n / 4
+
+
 def test_page_tasks_give_the_same_rows(spark, folder):
     found = P.read_files(spark, str(folder), glob="*.pdf")
     tasks = P.page_tasks(found, 1)
