@@ -6,7 +6,8 @@ import base64
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,55 +259,45 @@ def _run_length(data: bytes) -> bytes:
 
 def _lzw(data: bytes) -> bytes:
     """Codes of nine to twelve bits, a clear code first and where the table is full."""
-    bits, have, out, table, width, prior = 0, 0, bytearray(), {}, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(bits >> have & 255)
-        bits &= (1 << have) - 1
-
-    code_of = lambda s: s[0] if len(s) == 1 else table[s]
-    put(256)
-    for i in range(len(data)):
-        s = prior + data[i : i + 1]
-        if len(s) == 1 or s in table:
-            prior = s
+    codes, widths, table, width, prior = [256], [9], {}, 9, -1
+    for c in data:
+        if prior < 0:
+            prior = c
             continue
-        put(code_of(prior))
-        table[s] = 258 + len(table)
-        size = 258 + len(table)
-        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-        if size >= 4094:
-            put(256)
+        key = prior << 8 | c
+        code = table.get(key)
+        if code is not None:
+            prior = code
+            continue
+        codes.append(prior)
+        widths.append(width)
+        table[key] = size = 258 + len(table)
+        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
+        if size >= 4093:
+            codes.append(256)
+            widths.append(width)
             table, width = {}, 9
-        prior = data[i : i + 1]
-    if prior:
-        put(code_of(prior))
+        prior = c
+    if prior >= 0:
+        codes.append(prior)
+        widths.append(width)
         size = 259 + len(table)
         width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    put(257)
-    if have:
-        out.append(bits << (8 - have) & 255)
-    return bytes(out)
+    each, wide = np.array([*codes, 257]), np.array([*widths, width])
+    places = wide[:, None] - 1 - np.arange(12)
+    return np.packbits((each[:, None] >> np.maximum(places, 0) & 1)[places >= 0].astype(np.uint8)).tobytes()
 
 
 def _predicted(data: bytes) -> bytes:
     """Rows of 16 bytes with a PNG filter each, in turn, behind deflate."""
-    rows, above = [], bytes(16)
-    for k in range(0, len(data), 16):
-        row = data[k : k + 16].ljust(16, b"\0")
-        how = k // 16 % 5
-        line = bytearray()
-        for i, v in enumerate(row):
-            a, b, c = row[i - 1] if i else 0, above[i], above[i - 1] if i else 0
-            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-            line.append((v - (0, a, b, (a + b) // 2, near)[how]) & 255)
-        rows.append(bytes([how]) + bytes(line))
-        above = row
-    return zlib.compress(b"".join(rows))
+    rows = np.frombuffer(data + bytes(-len(data) % 16), np.uint8).reshape(-1, 16).astype(np.int16)
+    left, above, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
+    left[:, 1:], above[1:], corner[1:, 1:] = rows[:, :-1], rows[:-1], rows[:-1, :-1]
+    x, y, z = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+    near = np.where((x <= y) & (x <= z), left, np.where(y <= z, above, corner))
+    how = np.arange(len(rows)) % 5
+    ahead = np.select([(how == k)[:, None] for k in (1, 2, 3, 4)], [left, above, (left + above) // 2, near], 0)
+    return zlib.compress(np.hstack([how[:, None], rows - ahead]).astype(np.uint8).tobytes())
 
 
 _ENCODERS: dict[str, Callable[[bytes], bytes]] = {"FlateDecode": zlib.compress, "LZWDecode": _lzw, "ASCII85Decode": lambda b: base64.a85encode(b, adobe=True), "RunLengthDecode": _run_length, "Fl": lambda b: zlib.compress(b)[2:-4]}
@@ -316,20 +307,21 @@ _ENCODERS: dict[str, Callable[[bytes], bytes]] = {"FlateDecode": zlib.compress,
 def filters_roundtrip(spark, sf):
     """Every filter undone: what another encoder made of each text is the text again."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in range(0, len(frame), 64):
-                part = frame.iloc[k : k + 64]
-                rows = [(d, name, fn(t.encode()), len(t.encode())) for d, t in zip(part["doc_id"], part["text"], strict=True) for name, fn in [*_ENCODERS.items(), ("Predictor", _predicted)]]
-                yield pd.DataFrame(rows, columns=["doc_id", "filter", "data", "size"])
-
-    rows = read(spark, sf, "documents").select("doc_id", "text").mapInPandas(each, "doc_id long, filter string, data binary, size long")
-    plain = [rows.where(F.col("filter") == f).select("doc_id", "filter", F.md5(codecs.decoded(f, F.col("data"))).alias("digest")) for f in _ENCODERS]
-    png = rows.where("filter = 'Predictor'").select("doc_id", "filter", F.md5(F.substring(codecs.decoded("FlateDecode", F.col("data"), Predictor=15, Columns=16), F.lit(1), F.col("size").cast("int"))).alias("digest"))
-    out = png
-    for p in plain:
-        out = out.union(p)
-    return out
+    encoders = [*((f, f, fn) for f, fn in _ENCODERS.items()), ("Predictor", "FlateDecode", _predicted)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = [(d, None if t is None else t.encode()) for d, t in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True)]
+                rows = [(d, name, f, *((None, None) if t is None else (fn(t), len(t)))) for d, t in part for name, f, fn in encoders]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "filter", "by", "data", "size"])
+
+    texts = P.spread(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = texts.mapInArrow(each, "doc_id long, filter string, by string, data binary, size int")
+    params = F.when(F.col("filter") == "Predictor", F.create_map(F.lit("Predictor"), F.lit(15), F.lit("Columns"), F.lit(16)))
+    back = rows.select("doc_id", "filter", "size", codecs.decoded_each(F.col("by"), F.col("data"), params).alias("data"))
+    whole = F.when(F.col("filter") == "Predictor", F.substring("data", F.lit(1), F.col("size"))).otherwise(F.col("data"))  # without what fills the last row
+    return back.select("doc_id", "filter", F.md5(whole).alias("digest"))
 
 
 # recognised pages
