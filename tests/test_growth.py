@@ -1,8 +1,10 @@
 """What must not grow faster than the input: tasks, passes over the input, memory of a worker."""
 
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,3 +34,14 @@ def test_lzw_with_many_tables():
     assert codecs.decode("LZWDecode", texts._lzw(b"")) == b"" and codecs.decode("FlateDecode", zlib.compress(b"")) == b""
     with pytest.raises(ValueError):
         codecs.decode("LZWDecode", bytes([0x80, 0x0B, 0xFF, 0xFF]))
+
+
+def test_decoded_columns_hold_few_values_at_once():
+    """filter_roundtrip made Python objects of a whole Arrow batch."""
+    column = pa.array([bytes(200_000)] * 300 + [None, b""])
+    tracemalloc.start()
+    out = codecs._by_rows(lambda b: b and b[:1], column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [b"\0"] * 300 + [None, b""] and most < 4 << 20
+    assert codecs._by_rows(len, pa.array([], pa.binary())).to_pylist() == []
