@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,23 +47,50 @@ def text_string(c: Column) -> Column:
     return _text(lambda b: _text_string(bytes(b)))(c)
 
 
+#: CMaps of programs that came before: columns have few different ones. Only short ones, and so many at most.
+_CMAPS: dict[bytes, cmaps.CMap] = {}
+MAX_CMAPS, MAX_PROGRAM, MAX_KNOWN = 256, 4096, 1024
+
+
+def _cmap(program: bytes) -> cmaps.CMap:
+    found = _CMAPS.get(program)
+    if found is None:
+        found = cmaps.parse(program)
+        if len(program) <= MAX_PROGRAM and len(found.texts) + len(found.cids) <= MAX_KNOWN:
+            if len(_CMAPS) >= MAX_CMAPS:
+                _CMAPS.clear()
+            _CMAPS[program] = found
+    return found
+
+
 def cmap_texts(c: Column) -> Column:
     """Code and text of each entry of a CMap program, by code."""
-    return _text(lambda b: [{"code": k, "text": v} for k, v in sorted(cmaps.parse(bytes(b)).texts.items())], "array<struct<code: long, text: string>>")(c)
+
+    @F.arrow_udf("array<struct<code: long, text: string>>")
+    def run(programs: pa.Array) -> pa.Array:
+        codes, texts, ends = [], [], []
+        for p in programs.to_pylist():
+            ends.append(None if p is None else len(codes))
+            for code, text in sorted(_cmap(p).texts.items()) if p is not None else ():
+                codes.append(code)
+                texts.append(text)
+        return pa.ListArray.from_arrays(pa.array([*ends, len(codes)], pa.int32()), pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(texts, pa.string())], ["code", "text"]))
+
+    return run(c)
 
 
 def cmap_cids(program: Column, data: Column) -> Column:
     """The character ids of a string's codes by a CMap program; codes without one are their own."""
 
-    @F.pandas_udf("array<long>")
-    def run(programs: pd.Series, strings: pd.Series) -> pd.Series:
-        def one(p: bytes | None, s: bytes | None) -> list[int] | None:
-            if p is None or s is None:
-                return None
-            cm = cmaps.parse(bytes(p))
-            return [code if (cid := cm.cid(code)) is None else cid for code, _ in cm.codes(bytes(s))]
+    def one(p: bytes | None, s: bytes | None) -> list[int] | None:
+        if p is None or s is None:
+            return None
+        cm = _cmap(p)
+        return [code if (cid := cm.cid(code)) is None else cid for code, _ in cm.codes(s)]
 
-        return pd.Series([one(p, s) for p, s in zip(programs, strings, strict=True)])
+    @F.arrow_udf("array<long>")
+    def run(programs: pa.Array, strings: pa.Array) -> pa.Array:
+        return pa.array([one(p, s) for p, s in zip(programs.to_pylist(), strings.to_pylist(), strict=True)], pa.list_(pa.int64()))
 
     return run(program, data)
 

@@ -240,14 +240,16 @@ def cmap_expand(spark, sf):
         F.lit("/CIDInit /ProcSet findresource begin 1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <0"), F.col("p_size") % 9 + 1, F.lit("> <00660069> endbfchar 2 beginbfrange <4"), F.col("p_size") % 4, F.lit("> <4"),
         F.col("p_size") % 4 + 3, F.lit("> <04"), F.hex(F.col("p_size") % 4 + 16), F.lit("> <60> <61> [<0058> /eacute] endbfrange"),
     )
-    return read(spark, sf, "part").select("p_partkey", F.explode(X.cmap_texts(program.cast("binary"))).alias("e")).select("p_partkey", "e.code", "e.text")
+    parts = P.spread(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select("p_partkey", F.explode(X.cmap_texts(program.cast("binary"))).alias("e")).select("p_partkey", "e.code", "e.text")
 
 
 @query("SELECT p_partkey, [CAST(7 + p_size AS BIGINT), 33088 + p_size, 5] AS cids FROM part")
 def cmap_codes(spark, sf):
     program = F.lit("2 begincodespacerange <00> <7F> <8000> <FFFF> endcodespacerange 1 begincidrange <00> <7F> 7 endcidrange 1 begincidchar <9999> 5 endcidchar")
     data = F.unhex(F.concat(F.lpad(F.hex("p_size"), 2, "0"), F.hex(33088 + F.col("p_size")), F.lit("9999")))
-    return read(spark, sf, "part").select("p_partkey", X.cmap_cids(program.cast("binary"), data).alias("cids"))
+    parts = P.spread(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select("p_partkey", X.cmap_cids(program.cast("binary"), data).alias("cids"))
 
 
 # filters

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import codecs
+from quirefold.functions import texts as columns
 from quirefold.plans import catalogue, texts
+from quirefold.sources.pdf.cmaps import CMap
 
 
 def plan(df):
@@ -45,3 +47,24 @@ def test_decoded_columns_hold_few_values_at_once():
     tracemalloc.stop()
     assert out.to_pylist() == [b"\0"] * 300 + [None, b""] and most < 4 << 20
     assert codecs._by_rows(len, pa.array([], pa.binary())).to_pylist() == []
+
+
+def test_cmaps_are_spread_and_parsed_once(spark, tmp_path, monkeypatch):
+    """cmap_expand and cmap_codes parsed a program for each row, in the one task of a small table."""
+    spark.range(600).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name, n in (("cmap_expand", 4200), ("cmap_codes", 600)):
+        found = catalogue.queries()[name](spark, str(tmp_path))
+        counts = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(counts) >= 8 and sum(r["count"] for r in counts) == n
+    parsed = []
+    monkeypatch.setattr(columns.cmaps, "parse", lambda p: parsed.append(p) or CMap(texts={1: "a"}))
+    monkeypatch.setattr(columns, "_CMAPS", {})
+    for p in (b"a", b"b", b"a", b"c" * 5000, b"c" * 5000):
+        columns._cmap(p)
+    assert parsed == [b"a", b"b", b"c" * 5000, b"c" * 5000]
+
+
+def test_cmap_columns_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"1 beginbfrange <01> <02> <0041> endbfrange"), bytearray(b"\0\1")), (2, None, bytearray(b"x")), (3, bytearray(b""), None), (4, bytearray(b""), bytearray(b""))], "i int, p binary, d binary")
+    got = {r["i"]: (r["t"], r["c"]) for r in rows.select("i", columns.cmap_texts(F.col("p")).alias("t"), columns.cmap_cids(F.col("p"), F.col("d")).alias("c")).collect()}
+    assert got == {1: ([(1, "A"), (2, "B")], [1]), 2: (None, None), 3: ([], None), 4: ([], [])}
