@@ -345,10 +345,11 @@ def elements(files: DataFrame) -> DataFrame:
     """doc_id, elem_id, parent_id, ord, depth, role, raw_role, title, lang, actual, alt, page, claims: the tree of tags, ids in the order of the walk."""
 
     def rows(store: Store, *_: Any) -> Iterator[tuple]:
-        root, ids = tags.read(store), {}
+        root, ids, places = tags.read(store), {}, {}
         for e, depth in tags.walk(root) if root else ():
             ids[id(e)] = len(ids)
-            at = next((i for i, x in enumerate(e.parent.inside) if x is e), None) if e.parent else None
+            places.update((id(x), i) for i, x in enumerate(e.inside))
+            at = places[id(e)] if e.parent else None
             claims = [{"ord": i, "page": c.page, "mcid": c.mcid} for i, c in enumerate(e.inside) if isinstance(c, tags.Claim)]
             yield ids[id(e)], ids[id(e.parent)] if e.parent else None, at, depth, e.role, e.raw, e.title or None, e.lang or None, e.actual or None, e.alt or None, e.page, claims
 

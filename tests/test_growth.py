@@ -1,6 +1,7 @@
 """What must not grow faster than the input: tasks, passes over the input, memory of a worker."""
 
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import codecs
 from quirefold.functions import texts as columns
+from quirefold.operators import files as P
 from quirefold.plans import catalogue, texts
+from quirefold.plans.files import _report
 from quirefold.sources.pdf.cmaps import CMap
+from quirefold.sources.pdf.objects import value
+from quirefold.sources.pdf.tokens import Lexer, Ref
 
 
 def plan(df):
@@ -68,3 +73,21 @@ def test_cmap_columns_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, bytearray(b"1 beginbfrange <01> <02> <0041> endbfrange"), bytearray(b"\0\1")), (2, None, bytearray(b"x")), (3, bytearray(b""), None), (4, bytearray(b""), bytearray(b""))], "i int, p binary, d binary")
     got = {r["i"]: (r["t"], r["c"]) for r in rows.select("i", columns.cmap_texts(F.col("p")).alias("t"), columns.cmap_cids(F.col("p"), F.col("d")).alias("c")).collect()}
     assert got == {1: ([(1, "A"), (2, "B")], [1]), 2: (None, None), 3: ([], None), 4: ([], [])}
+
+
+def test_a_token_is_read_once(monkeypatch):
+    """pdf_tagged_sections and others: arrays and dictionaries read each of their tokens twice."""
+    data, tokens = b"<</K [[1 2] (text) <</A /B>>] /P 3 0 R>>", []
+    scan = Lexer.scan
+    monkeypatch.setattr(Lexer, "scan", lambda self: tokens.append(found := scan(self)) or found)
+    assert value(Lexer(data)) == {"K": [[1, 2], b"text", {"A": "B"}], "P": Ref(3, 0)}
+    assert len(tokens) == 16
+
+
+def test_places_of_many_siblings(spark):
+    """pdf_elements looked for the place of an element among all of its siblings."""
+    n = 3000
+    files = spark.createDataFrame([(1, bytearray(_report(list(range(n)), ["x"] * n, True, 4)))], "doc_id long, payload binary")
+    began = time.time()
+    found = [(r["ord"], r["parent_id"]) for r in P.elements(files).orderBy("elem_id").collect()]
+    assert found == [(None, None), (0, 0), *((i, 1) for i in range(2 * n - n // 4))] and time.time() - began < 60
