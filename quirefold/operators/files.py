@@ -41,15 +41,15 @@ def read_files(spark: SparkSession, *paths: str, glob: str | None = None) -> Dat
     return found.load(list(paths)).select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("payload"))
 
 
-def spread(rows: DataFrame, *by: str) -> DataFrame:
+def spread(rows: DataFrame, *by: str, least: int = 1) -> DataFrame:
     """The rows in several tasks for each core, by some columns: where a row takes Python much longer than reading it takes, a small table is more than the one task of its one row group.
 
     The number of tasks is given, so adaptive execution doesn't join the small ones together again; executors that aren't there yet count by the
-    session's shuffle partitions, up to LEAST_TASKS of them.
+    session's shuffle partitions, up to LEAST_TASKS of them. least: a number of tasks that the caller needs.
     """
     spark = rows.sparkSession
     known, planned = TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(known, min(planned, LEAST_TASKS)), *by)
+    return rows.repartition(max(known, min(planned, LEAST_TASKS), least), *by)
 
 
 def page_tasks(files: DataFrame, pages: int = PAGES_A_TASK) -> DataFrame:

@@ -40,8 +40,13 @@ def xref_links(mentions: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def cell_columns(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """The first column whose right edge lies beyond a cell's left one."""
+    """The first column whose right edge lies beyond a cell's left one.
+
+    A column that doesn't reach beyond all columns before it is the first for no cell, so cells only meet the others.
+    """
     c = columns.select(F.col("doc_id").alias("__d"), F.col("col").alias("__c"), F.col("right").alias("__right"))
+    before = Window.partitionBy("__d").orderBy(F.col("__c").asc_nulls_last(), F.col("__right").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("__most", F.max("__right").over(before)).where("__most IS NULL OR __right > __most").drop("__most")
     joined = cells.join(c, (F.col("doc_id") == F.col("__d")) & (F.col("x0") < F.col("__right")))
     return joined.groupBy("doc_id", "cell_ix").agg(F.min("__c").alias("col"))
 

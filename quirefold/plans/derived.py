@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirefold.operators.files import spread
+
 DERIVED = {
     "titles": """SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(o_orderkey AS BIGINT) AS block_ix, CASE o_orderkey % 9
         WHEN 0 THEN concat(CAST(o_custkey % 9 + 1 AS STRING), ' ', o_orderpriority) WHEN 1 THEN concat(CAST(o_custkey % 9 + 1 AS STRING), '.', CAST(o_orderkey % 12 + 1 AS STRING), ' Scope of ', o_orderpriority)
@@ -33,9 +35,16 @@ DERIVED = {
 }
 
 
+#: So many rows of a table are sorted in one task at most, but for skew of its key.
+ROWS_A_TASK = 500_000
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A relation; where rows are numbered within a key, in as many tasks as the table needs: shuffled rows are small, and adaptive execution would sort very many of them in one task."""
     sql = DERIVED[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
+    if key := re.search(r"PARTITION BY (\w+)", sql):
+        tables = {t: spread(df, key[1], least=-(-df.count() // ROWS_A_TASK)) for t, df in tables.items()}
     return spark.sql(sql, **tables)
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quirefold.functions import codecs
 from quirefold.functions import texts as columns
 from quirefold.operators import files as P
-from quirefold.plans import catalogue, texts
+from quirefold.operators import joins
+from quirefold.plans import catalogue, derived, texts
 from quirefold.plans.files import _report
 from quirefold.sources.pdf.cmaps import CMap
 from quirefold.sources.pdf.objects import value
@@ -91,3 +92,25 @@ def test_places_of_many_siblings(spark):
     began = time.time()
     found = [(r["ord"], r["parent_id"]) for r in P.elements(files).orderBy("elem_id").collect()]
     assert found == [(None, None), (0, 0), *((i, 1) for i in range(2 * n - n // 4))] and time.time() - began < 60
+
+
+def test_rows_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    """cell_grid and other queries over numbered rows sorted all rows in as few tasks as their compressed shuffle had megabytes for."""
+    rows = spark.range(4000).selectExpr("id DIV 4 AS l_orderkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber", "id % 40 AS l_partkey", "id % 60 AS l_suppkey", "CAST(id AS DOUBLE) AS l_extendedprice")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for most, least in ((500_000, 16), (100, 40)):
+        monkeypatch.setattr(derived, "ROWS_A_TASK", most)
+        boxes = derived.derive(spark, str(tmp_path), "boxes")
+        assert boxes.rdd.getNumPartitions() >= least and boxes.count() == 4000
+        found = catalogue.queries()["cell_grid"](spark, str(tmp_path))
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= least and plan(found).count("Repartition") == 2
+
+
+def test_cells_only_meet_columns_that_can_be_first(spark):
+    cells = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.0, 5.0, 9.9, 10.0, 25.0, None])] + [(1, 0, 12.0), (2, 1, 0.0), (None, 1, 0.0)], "doc_id long, cell_ix int, x0 double")
+    columns_of = spark.createDataFrame([(1, 3, 20.0), (1, 1, 10.0), (1, 2, 7.0), (1, 4, None), (1, 5, 20.0), (1, None, 30.0), (3, 1, 9.0), (None, 1, 9.0)] + [(1, 100 + i, 3.0) for i in range(500)], "doc_id long, col int, right double")
+    plain = cells.join(columns_of.withColumnRenamed("doc_id", "d"), F.expr("doc_id = d AND x0 < right"))
+    want = plain.groupBy("doc_id", "cell_ix").agg(F.min("col").alias("col"))
+    got = joins.cell_columns(cells, columns_of)
+    assert got.count() == want.count() == 5 and got.exceptAll(want).count() == 0
+    assert {r["cell_ix"]: r["col"] for r in got.collect()} == {0: 1, 1: 1, 2: 1, 3: 3, 4: None}
