@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,23 +93,41 @@ def slug(number: Column, title: Column, index: Column, parent: Column | None = N
 
     parent: the number of the section around it, which the number then doesn't repeat.
     """
-    num, whole = F.coalesce(kebab(number), F.lit("")), F.coalesce(kebab(title), F.lit(""))
-    tail = F.when((num != "") & F.startswith(whole, F.concat(num, F.lit("-"))), F.substring(whole, F.length(num) + 2, F.length(whole))).otherwise(whole)
-    cut = F.substring(tail, 1, 60)
-    back = F.regexp_replace(cut, "-[^-]*$", "")
-    tail = F.when(F.length(tail) <= 60, tail).when(F.contains(cut, F.lit("-")) & (F.length(back) > 30), back).otherwise(F.rtrim(cut, F.lit("-")))
-    if parent is not None:
-        above = F.coalesce(kebab(parent), F.lit(""))
-        num = F.when((above != "") & (num != above) & F.startswith(num, F.concat(above, F.lit("-"))), F.substring(num, F.length(above) + 2, F.length(num))).otherwise(num)
-    both = F.concat_ws("-", F.nullif(num, F.lit("")), F.nullif(tail, F.lit("")))
-    return F.when(both != "", both).otherwise(F.concat(F.lit("section-"), index + 1))
+    parts = F.struct(*[F.coalesce(F.lit("") if c is None else kebab(c), F.lit("")).alias(n) for n, c in (("num", number), ("title", title), ("above", parent))])
+    return _let(parts, lambda p: _segment(p["num"], p["title"], p["above"], index))
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once, however often fn refers to it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _segment(num: Column, title: Column, above: Column, index: Column) -> Column:
+    """A path segment of parts that are in lower case with hyphens already."""
+    tail = F.when((num != "") & F.startswith(title, F.concat(num, F.lit("-"))), F.substring(title, F.length(num) + 2, F.length(title))).otherwise(title)
+    tail = _let(tail, lambda t: F.when(F.length(t) <= 60, t).otherwise(_at_hyphen(F.substring(t, 1, 60))))
+    num = F.when((above != "") & (num != above) & F.startswith(num, F.concat(above, F.lit("-"))), F.substring(num, F.length(above) + 2, F.length(num))).otherwise(num)
+    return _let(F.concat_ws("-", F.nullif(num, F.lit("")), F.nullif(tail, F.lit(""))), lambda both: F.when(both != "", both).otherwise(F.concat(F.lit("section-"), index + 1)))
+
+
+def _at_hyphen(text: Column) -> Column:
+    """A text without what follows its last hyphen, if more than half of it stays."""
+    return _let(
+        F.struct(text.alias("cut"), F.regexp_replace(text, "-[^-]*$", "").alias("back")),
+        lambda v: F.when(F.contains(v["cut"], F.lit("-")) & (F.length(v["back"]) > 30), v["back"]).otherwise(F.rtrim(v["cut"], F.lit("-"))),
+    )
 
 
 def path_name(folder: Column, number: Column, title: Column, index: Column, parent: Column) -> Column:
     """The first of the readable slug, the one without the parent's number and the bare number (or section-N) whose path stays short; else the last."""
-    last = F.when(F.coalesce(kebab(number), F.lit("")) != "", kebab(number)).otherwise(F.concat(F.lit("section-"), index + 1))
-    names = F.array(slug(number, title, index), slug(number, title, index, parent), last)
-    return F.coalesce(F.try_element_at(F.filter(names, lambda n: F.octet_length(folder) + 8 + 2 * F.octet_length(n) <= 150), F.lit(1)), last)
+    parts = F.struct(*[F.coalesce(kebab(c), F.lit("")).alias(n) for n, c in (("num", number), ("title", title), ("above", parent))])
+
+    def first(p: Column) -> Column:
+        last = F.when(p["num"] != "", p["num"]).otherwise(F.concat(F.lit("section-"), index + 1))
+        names = F.array(_segment(p["num"], p["title"], F.lit(""), index), _segment(p["num"], p["title"], p["above"], index), last)
+        return F.coalesce(F.try_element_at(F.filter(names, lambda n: F.octet_length(folder) + 8 + 2 * F.octet_length(n) <= 150), F.lit(1)), last)
+
+    return _let(parts, first)
 
 
 def iso_id(c: Column) -> Column:

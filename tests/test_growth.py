@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import codecs
+from quirefold.functions import scalars as S
 from quirefold.functions import texts as columns
 from quirefold.operators import files as P
 from quirefold.operators import joins
@@ -114,3 +115,14 @@ def test_cells_only_meet_columns_that_can_be_first(spark):
     got = joins.cell_columns(cells, columns_of)
     assert got.count() == want.count() == 5 and got.exceptAll(want).count() == 0
     assert {r["cell_ix"]: r["col"] for r in got.collect()} == {0: 1, 1: 1, 2: 1, 3: 3, 4: None}
+
+
+def test_a_name_is_worked_out_once(spark):
+    """section_names put the lower-cased title into its expressions dozens of times, each worked out again."""
+    df = spark.createDataFrame([(1, "1.2", "1.2 A " + "word " * 30, "1"), (2, None, None, None), (3, "2", "x" * 70, "")], "i long, n string, t string, p string")
+    c = [F.col(x) for x in "ntip"]
+    for name, most in ((S.slug(*c), 20), (S.path_name(F.lit("/" + "d" * 29), *c), 24)):
+        assert 0 < plan(df.select(name)).count("regexp_replace(") <= most
+    got = df.select(S.slug(*c[:3]), S.slug(*c), S.path_name(F.lit("/" + "d" * 29), *c)).collect()
+    words, many = "-a" + "-word" * 11, "2-" + "x" * 60
+    assert [tuple(r) for r in got] == [("1-2" + words, "2" + words, "1-2"), ("section-3",) * 3, (many, many, "2")]
