@@ -81,7 +81,7 @@ def test_a_token_is_read_once(monkeypatch):
     """pdf_tagged_sections and others: arrays and dictionaries read each of their tokens twice."""
     data, tokens = b"<</K [[1 2] (text) <</A /B>>] /P 3 0 R>>", []
     scan = Lexer.scan
-    monkeypatch.setattr(Lexer, "scan", lambda self: tokens.append(found := scan(self)) or found)
+    monkeypatch.setattr(Lexer, "scan", lambda self, *how: tokens.append(found := scan(self, *how)) or found)
     assert value(Lexer(data)) == {"K": [[1, 2], b"text", {"A": "B"}], "P": Ref(3, 0)}
     assert len(tokens) == 16
 
