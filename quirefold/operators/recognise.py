@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.document import doctags
 from quirefold.functions import geometry as G
-from quirefold.operators.files import BOX, _each, _pages, page_tasks
+from quirefold.operators.files import BOX, PAGES_A_TASK, _each, _pages, page_tasks, spread
 from quirefold.operators.joins import replace_pages
 from quirefold.sources.pdf.page import read_page
 
@@ -56,26 +57,68 @@ def recognised(files: DataFrame, pages: DataFrame, rasterise: Callable[..., Any]
 
     engine may raise an exception with an attribute `partial`, the text until then.
     """
-    todo = pages.where("ocr").select("doc_id", "page").join(files.select("doc_id", "payload"), "doc_id").repartition(F.col("doc_id"), F.col("page"))
+    todo = spread(pages.where("ocr").select("doc_id", "page").join(files.select("doc_id", "payload"), "doc_id"), "doc_id", "page")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc, page, payload in zip(frame["doc_id"], frame["page"], frame["payload"], strict=True):
-                text, extent, error = None, None, None
-                try:
-                    image, extent = rasterise(bytes(payload), int(page), dpi)
-                    text = engine(image)
-                except Exception as e:  # noqa: BLE001 - one page's failure is that page's
-                    text, error = getattr(e, "partial", None), f"{type(e).__name__}: {e}"
-                if not text:
-                    text, error = None, error or "the model gave no text"
+                text, extent, error = _asked(bytes(payload), int(page), rasterise, engine, dpi)
                 out.append((doc, page, text, list(extent) if extent else None, error))
             yield pd.DataFrame(out, columns=["doc_id", "page", "tags", "extent", "error"])
 
     return todo.mapInPandas(each, "doc_id long, page int, tags string, extent array<double>, error string")
 
 
+def _asked(payload: bytes, page: int, rasterise: Callable[..., Any], engine: Callable[[Any], str], dpi: float) -> tuple[str | None, Any, str | None]:
+    """What the model wrote of a page, the page's extent, and what failed."""
+    text, extent, error = None, None, None
+    try:
+        image, extent = rasterise(payload, page, dpi)
+        text = engine(image)
+    except Exception as e:  # noqa: BLE001 - one page's failure is that page's
+        text, error = getattr(e, "partial", None), f"{type(e).__name__}: {e}"
+    return (text, extent, error) if text else (None, extent, error or "the model gave no text")
+
+
+def recognised_texts(files: DataFrame, rasterise: Callable[..., Any], engine: Callable[[Any], str], dpi: float = 200.0, threshold: float = THRESHOLD, force: bool = False) -> DataFrame:
+    """doc_id, page, text, error: the texts of all pages, with what the model read of those that routed() sends to it.
+
+    The same as with_recognised() of recognised(), but each file is read once, and only pages for the model take its bytes along. A page whose
+    recognition failed keeps its own text.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold is a share of the page")
+
+    def rows(store, first: int, last: int | None) -> Iterator[tuple]:  # noqa: ANN001
+        fonts: dict = {}
+        for n in _pages(store, first, last):
+            p = read_page(store, n, fonts)[0]
+            yield n, p.text, store.data if not p.rasterized and (force or p.coverage() < threshold) else None
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_A_TASK):
+                part = batch.slice(at, PAGES_A_TASK)
+                texts, errors = [], []
+                for page, own, payload in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                    tags, _, error = _asked(payload, page, rasterise, engine, dpi) if payload is not None else (None, None, None)
+                    texts.append((tags and _text_of(tags, page)) or own)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "page", "text", "error"])
+
+    pages = spread(_each(files, rows, "page int, text string, payload binary"), "doc_id", "page")
+    return pages.mapInArrow(each, "doc_id long, page int, text string, error string")
+
+
+def _text_of(tags: str, page: int) -> str:
+    """The text of the blocks of tagged text; empty where it can't be read."""
+    try:
+        return "\n".join(b.text for b in doctags.parse_page(tags, page, (0.0, 0.0, 0.0, 0.0)).blocks)
+    except ValueError:
+        return ""
+
+
 def rasters(files: DataFrame, draw: Callable[..., bytes], dpi: float = 200.0, max_pixels: float = 64e6, extension: str = "png") -> DataFrame:
     """doc_id, page, path, width, height, content, error: each page as an image file; draw(payload, page, width, height) makes it.
 
@@ -84,7 +127,8 @@ def rasters(files: DataFrame, draw: Callable[..., bytes], dpi: float = 200.0, ma
     sizes = page_tasks(files, 1).select("doc_id", "payload", "first", "last")
     own = _each(sizes, _extents, "page int, total int, width double, height double", keep_payload=True)
     w, h = G.fit(F.col("width"), F.col("height"), F.lit(dpi), F.lit(max_pixels))
-    fitted = own.select("doc_id", "payload", "page", "total", w.alias("width"), h.alias("height")).repartition(F.col("doc_id"), F.col("page"))
+    fitted = own.select("doc_id", "payload", "page", "total", w.alias("width"), h.alias("height"))
+    fitted = spread(fitted, "doc_id", "page")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -353,22 +353,21 @@ def _sparse(n: int) -> bytes:
 _SPARSE = "WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS doc_id, CAST(unnest(range(0, p_partkey % 4 + 1)) AS INT) AS i, p_partkey AS n FROM part), k AS (SELECT doc_id, i + 1 AS page, (n + i) % 3 AS kind FROM p)"
 
 
-def _sparse_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    files = made(read(spark, sf, "part").selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", "p_partkey AS n"), _sparse)
-    return files, R.routed(R.page_coverages(files))
+def _sparse_files(spark: SparkSession, sf: str) -> DataFrame:
+    return made(read(spark, sf, "part").selectExpr("CAST(p_partkey AS BIGINT) AS doc_id", "p_partkey AS n"), _sparse)
 
 
 @query(f"{_SPARSE} SELECT doc_id, page, concat(CASE WHEN kind < 2 THEN 'ocr ' ELSE 'keep' END, ' page ', page, chr(9), CASE kind WHEN 2 THEN 'full' ELSE 'coverage   0.' || CASE kind WHEN 0 THEN '0' ELSE '1' END || '%' END, chr(9), CASE kind WHEN 0 THEN 0 ELSE 1 END, ' block(s)') AS line FROM k")
 def recognition_plan(spark, sf):
     """What would be recognised: pages without text, or with next to none."""
-    lines = R.plan_lines(_sparse_pages(spark, sf)[1])
+    lines = R.plan_lines(R.routed(R.page_coverages(_sparse_files(spark, sf))))
     return lines.select("doc_id", "page", F.regexp_replace("line", r"coverage +[5-9][0-9]\.\d%", "full").alias("line"))
 
 
 @query(f"{_SPARSE} SELECT doc_id, page, CASE kind WHEN 2 THEN 'text' ELSE CASE WHEN (doc_id + page) % 5 = 0 THEN CASE kind WHEN 1 THEN 'word' ELSE '' END WHEN (doc_id + page) % 5 = 1 THEN 'half' ELSE concat('read ', doc_id + page) END END AS text FROM k")
 def recognised_pages(spark, sf):
     """Recognised text in place of a page's own; a page that fails keeps its own, and what was written before a failure counts."""
-    files, pages = _sparse_pages(spark, sf)
+    files = _sparse_files(spark, sf)
     keyed = files.withColumn("payload", F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0").cast("binary"), "payload"))
 
     def rasterise(payload: bytes, page: int, dpi: float) -> tuple[int, tuple[float, float]]:
@@ -383,8 +382,7 @@ def recognised_pages(spark, sf):
             raise failed
         return f"<doctag><text><loc_1><loc_1><loc_9><loc_9>read {image}</text></doctag>"
 
-    back = R.recognised(keyed, pages, rasterise, engine)
-    out = R.with_recognised(pages, R.tagged_blocks(back.where("tags IS NOT NULL").select("doc_id", "page", "tags")))
+    out = R.recognised_texts(keyed, rasterise, engine)
     return out.select("doc_id", "page", F.when(F.startswith("text", F.lit("many words")), "text").otherwise(F.col("text")).alias("text"))
 
 

@@ -14,6 +14,7 @@ from quirefold.functions import scalars as S
 from quirefold.functions import texts as columns
 from quirefold.operators import files as P
 from quirefold.operators import joins
+from quirefold.operators import recognise as R
 from quirefold.plans import catalogue, derived, texts
 from quirefold.plans.files import _report
 from quirefold.sources.pdf.cmaps import CMap
@@ -126,3 +127,39 @@ def test_a_name_is_worked_out_once(spark):
     got = df.select(S.slug(*c[:3]), S.slug(*c), S.path_name(F.lit("/" + "d" * 29), *c)).collect()
     words, many = "-a" + "-word" * 11, "2-" + "x" * 60
     assert [tuple(r) for r in got] == [("1-2" + words, "2" + words, "1-2"), ("section-3",) * 3, (many, many, "2")]
+
+
+def test_recognition_reads_a_file_once(spark, tmp_path):
+    """recognised_pages built its files three times and read their pages twice, in one task."""
+    spark.range(400).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.queries()["recognised_pages"](spark, str(tmp_path))
+    assert plan(found).count("Relation") == 1 and plan(found).count("MapInArrow") == 3
+    assert found.count() == sum(n % 4 + 1 for n in range(400)) and found.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_recognised_texts_are_those_of_the_steps(spark):
+    files = spark.createDataFrame([(n, bytearray(texts._sparse(n))) for n in range(9)] + [(9, None), (10, bytearray(b"no file"))], "doc_id long, payload binary")
+
+    def rasterise(payload, page, dpi):
+        return (len(payload) + page) % 4, (612.0, 792.0)
+
+    def engine(image):
+        if image == 0:
+            raise RuntimeError("no answer")
+        if image == 1:
+            failed = RuntimeError("broke off")
+            failed.partial = "<doctag><text>half"
+            raise failed
+        return "<doctag>" if image == 2 else "<doctag><text>one</text><text>two</text></doctag>"
+
+    for threshold, force in ((R.THRESHOLD, False), (0.0, False), (1.0, True)):
+        pages = R.routed(R.page_coverages(files), threshold, force)
+        back = R.recognised(files, pages, rasterise, engine)
+        want = R.with_recognised(pages, R.tagged_blocks(back.where("tags IS NOT NULL").select("doc_id", "page", "tags")))
+        got = R.recognised_texts(files, rasterise, engine, threshold=threshold, force=force)
+        assert got.select("doc_id", "page", "text").exceptAll(want).count() == 0 and got.count() == want.count() > 9
+        assert got.where("error IS NOT NULL").select("doc_id", "page", "error").exceptAll(back.select("doc_id", "page", "error").where("error IS NOT NULL")).count() == 0
+    twice = R.recognised_texts(files.union(files), rasterise, engine)
+    assert twice.count() == 2 * got.count()
+    with pytest.raises(ValueError):
+        R.recognised_texts(files, rasterise, engine, threshold=1.5)
