@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quirefold.functions import codecs
 from quirefold.functions import geometry as G
 from quirefold.functions import scalars as S
-from quirefold.operators import files as P
 from quirefold.operators import joins, markdown, metrics, outline, segments
 from quirefold.plans import files, texts
 from quirefold.plans.derived import derive, with_sql
@@ -400,7 +399,7 @@ def unique_names(spark, sf):
 @query("SELECT doc_id, text, sha256(text) AS digest FROM documents")
 def filter_roundtrip(spark, sf):
     hexed = codecs.decoded("ASCIIHexDecode", F.hex(F.col("text").cast("binary")).cast("binary"))
-    return P.spread(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", hexed.cast("string").alias("text")).withColumn("digest", F.sha2("text", 256))
+    return files.spread_texts(read(spark, sf, "documents")).select("doc_id", hexed.cast("string").alias("text")).withColumn("digest", F.sha2("text", 256))
 
 
 @query(

@@ -34,8 +34,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def made(rows: DataFrame, build: Callable[..., bytes]) -> DataFrame:
-    """doc_id, payload: a file from each row, in tasks of about as many rows; build gets the columns behind doc_id."""
+def made(rows: DataFrame, build: Callable[..., bytes], spread: bool = True) -> DataFrame:
+    """doc_id, payload: a file from each row, in tasks of about as many rows unless they are spread already; build gets the columns behind doc_id."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,13 +44,19 @@ def made(rows: DataFrame, build: Callable[..., bytes]) -> DataFrame:
                 payloads = [build(*row[1:]) for row in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(payloads, pa.binary())], ["doc_id", "payload"])
 
-    return P.spread(rows, "doc_id").mapInArrow(each, "doc_id long, payload binary")
+    return (P.spread(rows, "doc_id") if spread else rows).mapInArrow(each, "doc_id long, payload binary")
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_texts(documents: DataFrame) -> DataFrame:
+    """doc_id, text in tasks for all cores. Texts are large, so a table of as many files as there are cores isn't shuffled."""
+    rows = documents.select("doc_id", "text")
+    return rows if len(documents.inputFiles()) >= documents.sparkSession.sparkContext.defaultParallelism else P.spread(rows, "doc_id")
+
+
 # texts of documents, fifty lines a page, in a table or in packed streams
 
 
@@ -59,7 +65,7 @@ def _text_file(number: int, text: str) -> bytes:
 
 
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
-    return made(read(spark, sf, "documents").selectExpr("doc_id", "doc_id AS number", "text"), _text_file)
+    return made(spread_texts(read(spark, sf, "documents")).selectExpr("doc_id", "doc_id AS number", "text"), _text_file, spread=False)
 
 
 TEXT_LINES = """WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

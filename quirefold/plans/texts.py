@@ -19,7 +19,7 @@ from quirefold.operators import files as P
 from quirefold.operators import joins, metrics
 from quirefold.operators import recognise as R
 from quirefold.plans.derived import derive, with_sql
-from quirefold.plans.files import REPORTS, made, read, reports
+from quirefold.plans.files import REPORTS, made, read, reports, spread_texts
 from quirefold.sources.pdf import writer as w
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,7 +318,7 @@ def filters_roundtrip(spark, sf):
                 rows = [(d, name, f, *((None, None) if t is None else (fn(t), len(t)))) for d, t in part for name, f, fn in encoders]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "filter", "by", "data", "size"])
 
-    texts = P.spread(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    texts = spread_texts(read(spark, sf, "documents"))
     rows = texts.mapInArrow(each, "doc_id long, filter string, by string, data binary, size int")
     params = F.when(F.col("filter") == "Predictor", F.create_map(F.lit("Predictor"), F.lit(15), F.lit("Columns"), F.lit(16)))
     back = rows.select("doc_id", "filter", "size", codecs.decoded_each(F.col("by"), F.col("data"), params).alias("data"))

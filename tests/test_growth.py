@@ -163,3 +163,13 @@ def test_recognised_texts_are_those_of_the_steps(spark):
     assert twice.count() == 2 * got.count()
     with pytest.raises(ValueError):
         R.recognised_texts(files, rasterise, engine, threshold=1.5)
+
+
+def test_texts_of_many_files_stay_in_place(spark, tmp_path):
+    """pdf_lines and others shuffle the texts of a table in few files, and of no other."""
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('line ', id) AS text")
+    for n in (1, 4):
+        rows.repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        found = catalogue.queries()["pdf_lines"](spark, f"{tmp_path}/{n}")
+        assert plan(found).count("Repartition") == (n < 4) and found.count() == 400
+    assert catalogue.queries()["pdf_lines"](spark, f"{tmp_path}/1").select(F.spark_partition_id().alias("p")).distinct().count() >= 8
